@@ -36,9 +36,11 @@ BLOCK, MIN_PASSAGE, MIN_WORDS = 4, 20, 20
 FILTERS = {2: 16, 3: 24, 4: 24, 6: 16}
 WIDEST, ROOM = max(FILTERS), 40
 #: Documents that training may read at most (about), besides the clean samples.
-TRAIN_DOCS, STEPS, BATCH, RATE = 2_500, 500, 256, 0.01
+TRAIN_DOCS, STEPS, BATCH, RATE = 2_500, 300, 256, 0.01
 #: Evidence of one window is bounded by this floor; a change of language costs CHANGE.
 FLOOR, CHANGE = 0.02, 5.0
+#: A run whose confidence is lower is no passage: it says less than chance and noise explain.
+MIN_CONFIDENCE = 0.5
 UNKNOWN = "und"
 #: Different words that a task keeps features of.
 KEPT_WORDS = 300_000
@@ -239,6 +241,13 @@ def viterbi(scores: np.ndarray, change: float = CHANGE) -> np.ndarray:
     return path
 
 
+def _gain(scores: np.ndarray, main: int) -> float:
+    """The most that a run of one other class would gain over class ``main``."""
+    total = np.cumsum(scores - scores[:, main : main + 1], 0)
+    low = np.minimum(np.minimum.accumulate(total, 0), 0)
+    return float(np.maximum(total[0], total[1:] - low[:-1]).max())
+
+
 class Reader:
     """Finds the passages of texts; keeps the features of the words it has met."""
 
@@ -247,7 +256,8 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.known = Numbered(), np.empty((0, len(self.net.bias)), np.int8)
+        # Number 0 is no word; it fills up a text's last block.
+        self.numbers, self.known = Numbered({"": 0}), np.zeros((1, len(self.net.bias)), np.int8)
 
     def _table(self) -> np.ndarray:
         n = len(self.numbers)
@@ -262,7 +272,7 @@ class Reader:
         if len(self.numbers) > KEPT_WORDS:
             self.forget()
         ids = [self.numbers.of(accented_words(t)) if t else np.empty(0, np.int32) for t in texts]
-        for lo, hi in portions([len(i) for i in ids], 150_000):
+        for lo, hi in portions([len(i) for i in ids], 50_000):
             found += self._portion(ids[lo:hi])
         return found
 
@@ -271,10 +281,13 @@ class Reader:
         blocks = [-(-n // BLOCK) for n in counts]
         if not sum(blocks):
             return [[] for _ in ids]
-        offsets = np.cumsum([0, *counts[:-1]])
-        begins = np.concatenate([o + BLOCK * np.arange(b) for o, b in zip(offsets, blocks) if b])
-        pooled = np.maximum.reduceat(table[np.concatenate(ids)], begins)
         ends = np.cumsum(blocks)
+        filled = np.zeros(ends[-1] * BLOCK, np.int32)
+        for i, end, b in zip(ids, ends, blocks):
+            filled[(end - b) * BLOCK : (end - b) * BLOCK + len(i)] = i
+        pooled = table[filled[::BLOCK]]
+        for k in range(1, BLOCK):
+            np.maximum(pooled, table[filled[k::BLOCK]], out=pooled)
         last = np.zeros(len(pooled), bool)
         last[[e - 1 for e, b in zip(ends, blocks) if b]] = True
         window = pooled.copy()
@@ -297,7 +310,7 @@ class Reader:
             mine, sc = best[end - b : end], score[end - b : end]
             main = int(sc.sum(0).argmax())
             other = mine != main
-            if b > 3 and other.sum() >= 3:
+            if b > 3 and other.sum() >= 3 and _gain(sc, main) >= 1.5 * CHANGE:
                 path = viterbi(sc)
                 edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b]
             else:
@@ -311,9 +324,9 @@ class Reader:
         return out
 
     def _tidy(self, parts: list[tuple[int, int, int, float]]) -> list[tuple[str, int, int, float]]:
-        """Runs that are too short for a passage join their neighbour; neighbours of one language become one."""
+        """Runs too short or too unsure for a passage join their neighbour; neighbours of one language become one."""
         if len(parts) > 1:
-            kept = [p for p in parts if p[2] - p[1] >= MIN_PASSAGE] or [max(parts, key=lambda p: p[2] - p[1])]
+            kept = [p for p in parts if p[2] - p[1] >= MIN_PASSAGE and p[3] >= MIN_CONFIDENCE] or [max(parts, key=lambda p: p[2] - p[1])]
             merged = []
             for lang, a, b, c in kept:
                 if merged and merged[-1][0] == lang:
