@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import languages, percentiles
+from tidegate.llm import languages, leakage, percentiles
 from tidegate.session import cut, table
 
 #: Guaranteed relative error of the percentile queries, and the points they report.
@@ -56,7 +56,17 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _passages(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p2_step_percentiles, p2_daily_percentiles, p2_daily_sketches, p9_found, p9_passages)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 13 successive words, or all words, of an evaluation item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbatim and re-parameterised leaks with the share of the item that occurs."""
+    return leakage.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_step_percentiles, p2_daily_percentiles, p2_daily_sketches, p7_found, p7_leak_report, p9_found, p9_passages)}
 
 _G = (1 + ERROR) / (1 - ERROR)
 _BUCKETS = f"""

@@ -35,7 +35,7 @@ def split_words(text: str) -> list[str]:
     return becomes[codes].tobytes().decode("utf-32-le", "surrogatepass").split()
 
 
-def words(text: str) -> list[str]:
+def folded_words(text: str) -> list[str]:
     """The words after compatibility decomposition, removal of marks and soft hyphens, and lower-casing."""
     return split_words((text if text.isascii() else unicodedata.normalize("NFKD", text)).lower())
 
