@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import languages, leakage, percentiles
-from tidegate.session import cut, table
+from tidegate.llm import languages, leakage, mixture, percentiles
+from tidegate.session import table
 
 #: Guaranteed relative error of the percentile queries, and the points they report.
 ERROR, POINTS = 0.01, [0.5, 0.9, 0.95, 0.99]
@@ -40,6 +40,29 @@ def p2_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sketches(spark, sf_dir)
 
 
+#: The rank file of a public byte-level tokenizer.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a chosen record, in the order of its output shard."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen records and how often each is used."""
+    return _mixture(spark, sf_dir)[0].groupBy("doc_id", "source", "tokens").agg(F.count(F.lit(1)).alias("repeats"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixture(spark, sf_dir)[1]
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     net = languages.train(*languages.training_pairs(documents, [table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "eval_items")]))
@@ -66,7 +89,7 @@ def p7_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_step_percentiles, p2_daily_percentiles, p2_daily_sketches, p7_found, p7_leak_report, p9_found, p9_passages)}
+QUERIES = {f.__name__: f for f in (p2_step_percentiles, p2_daily_percentiles, p2_daily_sketches, p7_found, p7_leak_report, p8_mixture, p8_records, p8_shares, p9_found, p9_passages)}
 
 _G = (1 + ERROR) / (1 - ERROR)
 _BUCKETS = f"""
