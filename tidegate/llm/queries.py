@@ -24,6 +24,16 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select([F.round(c, 2).alias(c) if c[0] == "p" and c[1:].isdigit() else c for c in df.columns])
 
 
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles by step and day, and over all days (null day) from the merged sketches of the days."""
+    days = _sketches(spark, sf_dir)
+    whole = percentiles.merge(days, ["step_id", "measure"]).select("step_id", F.lit(None).cast("string").alias("day"), "measure", "sign", "index", "n")
+    # A null day of the rows themselves (steps that never began) is named, so that it stays apart from the sum.
+    dated = days.withColumn("day", F.coalesce("day", F.lit("none")))
+    groups = ["step_id", "day", "measure"]
+    return _rounded(percentiles.percentiles(dated.unionByName(whole), groups, POINTS, ERROR))
+
+
 def p2_step_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by step, merged from the sketches of the days."""
     days = _sketches(spark, sf_dir)
@@ -89,7 +99,7 @@ def p7_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_step_percentiles, p2_daily_percentiles, p2_daily_sketches, p7_found, p7_leak_report, p8_mixture, p8_records, p8_shares, p9_found, p9_passages)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_step_percentiles, p2_daily_percentiles, p2_daily_sketches, p7_found, p7_leak_report, p8_mixture, p8_records, p8_shares, p9_found, p9_passages)}
 
 _G = (1 + ERROR) / (1 - ERROR)
 _BUCKETS = f"""
@@ -98,14 +108,15 @@ b AS (SELECT step_id, day, measure, sign(value)::INT AS sign, CASE WHEN value =
 """
 
 
-def _percentile_sql(groups: str) -> str:
+def _percentile_sql(groups: str, day: str = "day") -> str:
     picks = ", ".join(f"round(max(CASE WHEN upto > floor({p} * (total - 1)) AND upto - n <= floor({p} * (total - 1)) THEN middle END), 2) AS p{p * 100:g}" for p in POINTS)
-    return f"""WITH {_BUCKETS}, s AS (SELECT {groups}, sign, index, count(*) AS n FROM b GROUP BY {groups}, sign, index),
+    return f"""WITH {_BUCKETS}, d AS (SELECT step_id, {day}, measure, sign, index FROM b), s AS (SELECT {groups}, sign, index, count(*) AS n FROM d GROUP BY {groups}, sign, index),
         c AS (SELECT {groups}, n, sign * pow({_G!r}, index) * {2 / (_G + 1)!r} AS middle, sum(n) OVER (PARTITION BY {groups} ORDER BY sign, sign * index) AS upto, sum(n) OVER (PARTITION BY {groups}) AS total FROM s)
         SELECT {groups}, max(total)::BIGINT AS n, {picks} FROM c GROUP BY {groups}"""
 
 
 ORACLE = {
+    "p2_percentiles": f"""{_percentile_sql("step_id, day, measure", "coalesce(day, 'none') AS day")} UNION ALL BY NAME SELECT *, NULL::VARCHAR AS day FROM ({_percentile_sql("step_id, measure")})""",
     "p2_step_percentiles": _percentile_sql("step_id, measure"),
     "p2_daily_percentiles": _percentile_sql("step_id, day, measure"),
     "p2_daily_sketches": f"WITH {_BUCKETS} SELECT step_id, day, measure, sign, index, count(*) AS n FROM b GROUP BY ALL",
