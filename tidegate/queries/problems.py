@@ -138,6 +138,27 @@ ORACLE = {
     "p1_found": f"WITH {_ISLANDS} SELECT * FROM f",
     "p1_busy_share": f"""WITH {_ISLANDS} SELECT execution_id, count(CASE WHEN kind = 'period' THEN 1 END) AS periods, count(CASE WHEN kind = 'gap' THEN 1 END) AS gaps,
         sum(CASE WHEN kind = 'period' THEN end_us - start_us END)::BIGINT AS busy_us, coalesce(sum(CASE WHEN kind = 'gap' THEN end_us - start_us END), 0)::BIGINT AS idle_us FROM f GROUP BY execution_id""",
+    "p3_found": """WITH st AS (SELECT id, min(started_at) AS s FROM pipeline_executions WHERE started_at IS NOT NULL GROUP BY id),
+        f AS (SELECT lower(trim(dataset_name)) AS d, execution_id AS e, lower(trim(field_name)) AS n, min(id) AS i, max(lower(trim(data_type))) AS t FROM lineage_nodes GROUP BY 1, 2, 3),
+        g AS (SELECT f.*, s, row_number() OVER (PARTITION BY d, e ORDER BY i) AS place, last_value(t IGNORE NULLS) OVER (PARTITION BY d, n ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM f JOIN st ON e = st.id),
+        x AS (SELECT d, e, lag(e) OVER (PARTITION BY d ORDER BY s, e) AS before FROM (SELECT DISTINCT d, e, s FROM g)),
+        o AS (SELECT x.d, x.e, g.n, g.place, g.k FROM x JOIN g ON g.d = x.d AND g.e = x.before),
+        w AS (SELECT x.d, x.e, g.n, g.place, g.k FROM x JOIN g ON g.d = x.d AND g.e = x.e WHERE before IS NOT NULL),
+        gone AS (SELECT * FROM o ANTI JOIN w USING (d, e, n)), come AS (SELECT * FROM w ANTI JOIN o USING (d, e, n)),
+        r AS (SELECT d, e, gone.n AS a, come.n AS b FROM gone JOIN come USING (d, e, place, k))
+        SELECT d AS dataset_name, e AS execution_id, 'renamed' AS change, a AS field_before, b AS field_after FROM r
+        UNION ALL SELECT d, e, 'removed', n, '' FROM gone WHERE (d, e, n) NOT IN (SELECT (d, e, a) FROM r)
+        UNION ALL SELECT d, e, 'added', '', n FROM come WHERE (d, e, n) NOT IN (SELECT (d, e, b) FROM r)
+        UNION ALL SELECT d, e, 'type_changed', n, n FROM o JOIN w USING (d, e, n) WHERE o.k <> w.k""",
+    "p5_found": """WITH RECURSIVE ids AS (SELECT DISTINCT id FROM lineage_nodes),
+        l AS (SELECT target_node_id AS c, min(source_node_id) AS p FROM lineage_edges WHERE source_node_id IN (SELECT id FROM ids) AND target_node_id IN (SELECT id FROM ids) GROUP BY 1),
+        t(n, r, d) AS (SELECT c, p, 1::BIGINT FROM l WHERE p NOT IN (SELECT c FROM l) UNION ALL SELECT l.c, t.r, t.d + 1 FROM l JOIN t ON l.p = t.n),
+        u AS (SELECT * FROM l WHERE c NOT IN (SELECT n FROM t)),
+        w(v, a) AS (SELECT c, p FROM u UNION SELECT w.v, u.p FROM w JOIN u ON w.a = u.c),
+        y AS (SELECT v, min(a) AS r FROM w WHERE v IN (SELECT v FROM w WHERE v = a) GROUP BY v),
+        b(n, r, d) AS (SELECT v, r, 0::BIGINT FROM y UNION ALL SELECT u.c, b.r, b.d + 1 FROM u JOIN b ON u.p = b.n WHERE u.c NOT IN (SELECT v FROM y))
+        SELECT n AS node_id, r AS root_id, d AS depth, 'tree' AS status FROM t
+        UNION ALL SELECT n, r, d, CASE WHEN d = 0 THEN 'cycle' ELSE 'below_cycle' END FROM b""",
     "p4_found": "SELECT topic, _kafka_partition, _kafka_offset FROM kafka_orders GROUP BY ALL HAVING count(*) > 1",
     "p4_messages": "SELECT topic, _kafka_partition, _kafka_offset, min(polled_at) AS polled_at, count(*) AS copies FROM kafka_orders GROUP BY topic, _kafka_partition, _kafka_offset",
     "p6_found": """WITH d AS (SELECT DISTINCT pipeline_id, started_at::DATE AS day FROM pipeline_executions WHERE started_at IS NOT NULL),
