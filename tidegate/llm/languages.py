@@ -5,7 +5,7 @@ the bytes of a window, every filter keeps its maximum (max pooling), and softmax
 the probabilities of the languages and of "no language" (formulas, markup, digits). It is trained
 in numpy on labelled text; labels that the half-trained network contradicts are left out.
 
-Words are set apart by more blanks than a filter is wide. So no filter sees two words, the maximum
+Each word stands between blanks, and no filter reaches over them into the next word. So the maximum
 over a window is the maximum over its words, and each different word is convolved only once.
 
 Windows overlap by half. Their evidence goes through a Viterbi pass over blocks of words, which
@@ -41,6 +41,8 @@ TRAIN_DOCS, STEPS, BATCH, RATE = 2_500, 300, 256, 0.01
 FLOOR, CHANGE = 0.02, 5.0
 #: A run whose confidence is lower is no passage: it says less than chance and noise explain.
 MIN_CONFIDENCE = 0.5
+#: A text whose confidence is lower has no language.
+UNSURE = 0.4
 UNKNOWN = "und"
 #: Different words that a task keeps features of.
 KEPT_WORDS = 300_000
@@ -77,9 +79,11 @@ def _bytes(word: str) -> list[bytes]:
     return [raw[i : i + ROOM] for i in range(0, max(1, len(raw) - WIDEST + 1), ROOM - WIDEST + 1)]
 
 
-def _matrix(pieces: list[bytes]) -> np.ndarray:
-    width = max(WIDEST, max(map(len, pieces)))
-    return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
+def _matrix(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes, filled up with zeros, and how many of each count (as many as the widest filter at least)."""
+    length = np.maximum(np.fromiter(map(len, pieces), np.int64, len(pieces)), WIDEST)
+    width = int(length.max())
+    return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width), length
 
 
 class ByteNet:
@@ -96,14 +100,15 @@ class ByteNet:
         self.out_bias = np.zeros(len(classes), np.float32)
         self.scale = 1.0
 
-    def features(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Maxima of all filters over each row of bytes, and where they are."""
+    def features(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Maxima of all filters over each row of bytes up to its length, and where they are."""
         tops, places = [], []
         for w, f in self.filters.items():
             n = x.shape[1] - w + 1
             y = f[0][x[:, :n]]
             for k in range(1, w):
                 y += f[k][x[:, k : k + n]]
+            y[np.arange(n) > (length - w)[:, None]] = -1e9
             at = y.argmax(1)
             tops.append(np.take_along_axis(y, at[:, None, :], 1)[:, 0])
             places.append(at)
@@ -117,7 +122,7 @@ class ByteNet:
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
         for i in range(0, len(order), 512):
             some = order[i : i + 512]
-            got[some] = self.features(_matrix([pieces[j] for j in some]))[0]
+            got[some] = self.features(*_matrix([pieces[j] for j in some]))[0]
         return np.clip(np.rint(np.maximum.reduceat(got, first) * self.scale), 0, 127).astype(np.int8)
 
     def probabilities(self, pooled: np.ndarray) -> np.ndarray:
@@ -130,8 +135,9 @@ def _noise(rng: np.random.Generator, n: int) -> list[str]:
     """Words of no language: digits, single letters, markup, symbols' names, random letters."""
     markup = "sub sup img id eq alt gt lt br td tr div span href src amp nbsp frac begin end array cc sum int alpha beta delta lambda sqrt cdot times left right".split()
     letters = list("abcdefghijklmnopqrstuvwxyzαβγδεηλμπρσφωîïãâðñ½²³")
-    out = []
-    for kind in rng.integers(0, 5, n):
+    out: list[str] = []
+    # Kinds come in stretches, some of them long enough to fill windows.
+    for kind in np.repeat(rng.integers(0, 5, n), rng.choice([1, 1, 2, 20], n))[:n]:
         if kind == 0:
             out.append(str(rng.integers(0, 10 ** int(rng.integers(1, 5)))))
         elif kind < 3:
@@ -159,7 +165,7 @@ def train(clean: list[tuple[str, str]], labelled: list[tuple[str, str]], steps:
     noise = numbers.of(_noise(rng, 20_000))
     vocabulary = list(numbers)
     pieces = [_bytes(w)[0] for w in vocabulary]
-    matrix, length = _matrix(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+    matrix, length = _matrix(pieces)
     size = 2 * BLOCK
     params = [*net.filters.values(), net.bias, net.out, net.out_bias]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -185,8 +191,8 @@ def train(clean: list[tuple[str, str]], labelled: list[tuple[str, str]], steps:
             target[b] = c
         used, where = np.unique(rows, return_inverse=True)
         where = where.reshape(rows.shape)
-        x = matrix[used, : max(WIDEST, length[used].max())]
-        feats, places = net.features(x)
+        x = matrix[used, : length[used].max()]
+        feats, places = net.features(x, length[used])
         per_word = feats[where]
         best = per_word.argmax(1)
         pooled = np.take_along_axis(per_word, best[:, None, :], 1)[:, 0]
@@ -219,7 +225,8 @@ def train(clean: list[tuple[str, str]], labelled: list[tuple[str, str]], steps:
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             p_ -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-6)
-    some = net.features(matrix[rng.integers(0, len(matrix), 4096)])[0]
+    any_ = rng.integers(0, len(matrix), 4096)
+    some = net.features(matrix[any_], length[any_])[0]
     net.scale = float(100 / max(np.quantile(some, 0.999), 1e-3))
     return net
 
@@ -337,7 +344,7 @@ class Reader:
             end = parts[-1][2]
             parts = [(lang, 0 if i == 0 else merged[i - 1][2], end if i == len(merged) - 1 else b, c) for i, (lang, a, b, c) in enumerate(merged)]
         sure = [(self.net.classes[lang], a, b, round(c, 4)) for lang, a, b, c in parts]
-        return [(lang, a, b, c) if c > 1.5 / self.langs else (UNKNOWN, a, b, 0.0) for lang, a, b, c in sure]
+        return [(lang, a, b, c) if c >= UNSURE else (UNKNOWN, a, b, 0.0) for lang, a, b, c in sure]
 
 
 def training_pairs(documents: DataFrame, samples: list[DataFrame], docs: int = TRAIN_DOCS) -> tuple[list, list]:
