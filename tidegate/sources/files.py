@@ -6,6 +6,7 @@ import json as jsonlib
 import re
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,7 +98,12 @@ class JsonConnector(_Files):
         reader = ctx.spark.read.option("mode", "FAILFAST")
         if schema := config.text("schema"):
             reader = reader.schema(schema)
-        df = reader.json(path) if lines else reader.option("multiLine", True).json(path)
+        try:
+            df = reader.json(path) if lines else reader.option("multiLine", True).json(path)
+        except AnalysisException:
+            raise
+        except Exception as e:
+            raise ConnectorError(f"{path} holds what is no JSON: {str(e).splitlines()[0]}") from e
         order = self._order(ctx, path, lines)
         return df.select(*[f"`{c}`" for c in order if c in df.columns], *[f"`{c}`" for c in df.columns if c not in order])
 

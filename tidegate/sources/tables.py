@@ -181,8 +181,9 @@ class KafkaConnector(BaseConnector):
         first = raw.select(F.col("value").cast("string").alias("v")).filter("try_parse_json(v) is not null").limit(1).collect()
         if not first:
             return "value string"
-        kind = raw.sparkSession.range(1).select(F.schema_of_json(F.lit(first[0]["v"])).alias("s")).first()["s"]
-        return kind.removeprefix("STRUCT<").removesuffix(">")
+        sample = F.lit(first[0]["v"])
+        found = raw.sparkSession.range(1).select(F.from_json(sample, F.schema_of_json(sample)).alias("r")).select("r.*").schema
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found)
 
     def write(self, ctx: ReadContext, df: DataFrame, config: Config) -> WriteResult:
         began, topic = time.perf_counter(), config.need("topic")
