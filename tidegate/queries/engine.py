@@ -297,6 +297,12 @@ def sql_cte_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _apply("sql", spark, {"orders": table(spark, sf_dir, "orders"), "customer": table(spark, sf_dir, "customer")}, query=query)
 
 
+def sql_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recursive table expression joined with a table: customers by powers of two."""
+    query = "WITH RECURSIVE steps(n, k) AS (SELECT 0, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, k * 2 FROM steps WHERE n < 12) SELECT n, k, c_name FROM steps JOIN customer ON c_custkey = k"
+    return _apply("sql", spark, {"customer": table(spark, sf_dir, "customer")}, query=query)
+
+
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     old = orders.filter("o_orderstatus != 'P'")
@@ -365,7 +371,7 @@ _FUNCTIONS = [
     demo_orders_enriched, source_parquet_project, filter_sql_condition, filter_null_condition, join_inner_lookup, join_left_lookup, join_lookup_last_wins, join_overlap_coalesce,
     join_right, join_full, join_semi, join_anti, join_multi_key, join_asof, join_range, quality_report_summary, quality_violations, quality_unique, quality_referential, quality_distribution,
     select_rename, select_expressions, derive_columns, aggregate_groupby, aggregate_having, agg_rollup, agg_cube, agg_grouping_sets, window_rank, window_running, window_frame, topk, distinct_rows, distinct_by_key,
-    union_all, union_distinct, intersect_distinct, intersect_all, except_distinct, except_all, sql_named_params, sql_cte_subquery, upsert_merge, kafka_payload, kafka_parse, json_props_extract,
+    union_all, union_distinct, intersect_distinct, intersect_all, except_distinct, except_all, sql_named_params, sql_cte_subquery, sql_recursive, upsert_merge, kafka_payload, kafka_parse, json_props_extract,
     lineage_downstream, lineage_upstream, lineage_sources, events_tumbling, events_sliding, events_session,
 ]
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"quality_not_null": _one_rule(1), "quality_range": _one_rule(2), "quality_regex": _one_rule(3), "quality_freshness": _one_rule(4)}
@@ -435,6 +441,7 @@ ORACLE = {
     "except_all": f"SELECT * FROM {_A} EXCEPT ALL SELECT * FROM {_B}",
     "sql_named_params": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 100000",
     "sql_cte_subquery": "WITH spend AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_orderkey, n FROM orders JOIN spend USING (o_custkey) WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)",
+    "sql_recursive": "WITH RECURSIVE steps(n, k) AS (SELECT 0, 1::BIGINT UNION ALL SELECT n + 1, k * 2 FROM steps WHERE n < 12) SELECT n, k, c_name FROM steps JOIN customer ON c_custkey = k",
     "upsert_merge": "SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 'U' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 250000 OR o_orderstatus <> 'P'",
     "kafka_payload": "SELECT coalesce(nullif(user_id % 50, 0)::VARCHAR, 'null') AS key, event_id, event_type FROM events",
     "kafka_parse": "SELECT event_id, user_id, event_type, event_id AS _kafka_offset, (event_id % 4)::INT AS _kafka_partition, event_id * 1000 AS _kafka_timestamp FROM events WHERE event_id % 20 <> 0",
