@@ -28,34 +28,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.session import cut, drop
+from tidegate.session import cut, cut_and_count, drop
 
 #: A node with more children than this has them numbered in HASHED parts.
 MANY_CHILDREN, HASHED = 100_000, 64
 
 
-def _replace(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    written = cut(new)
+POINTS, ENDS = "j is not null", "j is null"
+
+
+def _replace(old: DataFrame | None, new: DataFrame) -> tuple[DataFrame, int]:
+    """Write the rows of a round, drop those of the round before, and count the rows that still point somewhere."""
+    written, pointing = cut_and_count(new, POINTS)
     if old is not None:
         drop(old)
-    return written
+    return written, pointing
 
 
 def _hop(t: DataFrame, take: list[str]) -> DataFrame:
     """Rows that point somewhere, with ``take`` columns of the row they point to as ``up_*``."""
     up = t.select(F.col("v").alias("j"), *[F.col(c).alias(f"up_{c}") for c in take])
-    return t.filter("j is not null").join(up, "j")
+    return t.filter(POINTS).join(up, "j")
 
 
 def _sizes(links: DataFrame) -> tuple[DataFrame, int]:
     """(v, j, s) from (v, j): subtree sizes; j stays set only for nodes that lead to a cycle. And their number."""
-    t = _replace(None, links.select("v", "j", F.lit(1).cast("bigint").alias("s")))
-    active = t.filter("j is not null").count()
+    t, active = _replace(None, links.select("v", "j", F.lit(1).cast("bigint").alias("s")))
     while active:
-        below = t.filter("j is not null").groupBy(F.col("j").alias("v")).agg(F.sum("s").alias("more"))
-        moved = _hop(t, ["j"]).select("v", F.col("up_j").alias("j"), "s").unionByName(t.filter("j is null"))
-        t = _replace(t, moved.join(below, "v", "left").select("v", "j", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")))
-        now = t.filter("j is not null").count()
+        below = t.filter(POINTS).groupBy(F.col("j").alias("v")).agg(F.sum("s").alias("more"))
+        moved = _hop(t, ["j"]).select("v", F.col("up_j").alias("j"), "s").unionByName(t.filter(ENDS))
+        t, now = _replace(t, moved.join(below, "v", "left").select("v", "j", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")))
         if now == active:  # no node ended in this round, so none of the others ever will
             break
         active = now
@@ -67,24 +69,22 @@ def _cycles(links: DataFrame, jumps: DataFrame) -> DataFrame:
 
     ``links`` (v, j) are the direct links, ``jumps`` (v, j) longer ones of all nodes that lead to a cycle.
     """
-    t = _replace(None, jumps)
+    t, _ = _replace(None, jumps)
     size = t.select("j").distinct().count()
     while True:
-        t = _replace(t, _hop(t, ["j"]).select("v", F.col("up_j").alias("j")))
+        t, _ = _replace(t, _hop(t, ["j"]).select("v", F.col("up_j").alias("j")))
         now = t.select("j").distinct().count()
         if now == size:
             break
         size = now
-    on = _replace(t, t.select(F.col("j").alias("v")).distinct().join(links, "v").select("v", "j", F.col("v").alias("m")))
-    while True:
-        after = _hop(on, ["j", "m"]).select("v", F.col("up_j").alias("j"), F.least("m", "up_m").alias("m"), (F.col("up_m") < F.col("m")).alias("fell"))
-        after = cut(after)
-        fell = after.filter("fell").isEmpty()
-        drop(on)
-        on = after.drop("fell")
-        on._tidegate_path = after._tidegate_path
-        if fell:
-            return on.select("v", F.col("m").alias("root"))
+    on = cut(t.select(F.col("j").alias("v")).distinct().join(links, "v").select("v", "j", F.col("v").alias("m"), F.lit(True).alias("fell")))
+    drop(t)
+    fell = 1
+    while fell:
+        before = on
+        on, fell = cut_and_count(_hop(on, ["j", "m"]).select("v", F.col("up_j").alias("j"), F.least("m", "up_m").alias("m"), (F.col("up_m") < F.col("m")).alias("fell")), "fell")
+        drop(before)
+    return on.select("v", F.col("m").alias("root"))
 
 
 def _follow(t: DataFrame, sums: list[str], texts: list[str]) -> DataFrame:
@@ -92,13 +92,13 @@ def _follow(t: DataFrame, sums: list[str], texts: list[str]) -> DataFrame:
 
     ``top`` becomes the last node reached; a row without pointer is its own top.
     """
-    t = _replace(None, t)
-    while not t.filter("j is not null").isEmpty():
+    t, active = _replace(None, t)
+    while active:
         moved = _hop(t, ["j", "top", *sums, *texts]).select(
             "v", F.col("up_j").alias("j"), F.col("up_top").alias("top"),
             *[(F.col(c) + F.col(f"up_{c}")).alias(c) for c in sums], *[F.concat(f"up_{c}", c).alias(c) for c in texts],
         )
-        t = _replace(t, moved.unionByName(t.filter("j is null")))
+        t, active = _replace(t, moved.unionByName(t.filter(ENDS)))
     return t
 
 
@@ -109,20 +109,20 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True, separator:
     descendants_to and, with ``paths``, path (labels from the root, or the nearest cycle node, down).
     """
     named = nodes.filter("id is not null").groupBy(F.col("id").alias("v")).agg(F.min("label").alias("label"))
-    ids = _replace(None, named if paths else named.select("v"))
+    ids = cut(named if paths else named.select("v"))
     raw = links.filter("parent is not null and child is not null").select("parent", "child").distinct()
     known = ids.select("v")
     raw = raw.join(known.withColumnRenamed("v", "child"), "child", "left_semi").join(known.withColumnRenamed("v", "parent"), "parent", "left_semi")
-    sound = _replace(None, raw.groupBy(F.col("child").alias("v")).agg(F.min("parent").alias("j")))
+    sound = cut(raw.groupBy(F.col("child").alias("v")).agg(F.min("parent").alias("j")))
     forest = known.join(sound, "v", "left")
 
     sized, looping = _sizes(forest)
     if looping:
         stuck = sized.filter("j is not null")
-        loops = _replace(None, _cycles(sound, stuck.select("v", "j")))
+        loops = _cycles(sound, stuck.select("v", "j"))
         inside = stuck.select("v").join(sound, "v").join(loops, "v", "left")
         below, _ = _sizes(inside.select("v", F.when(F.col("root").isNull(), F.col("j")).alias("j")))
-        sized = _replace(None, sized.filter("j is null").select("v", "s", F.lit(False).alias("looped")).unionByName(below.select("v", "s", F.lit(True).alias("looped"))))
+        sized = cut(sized.filter("j is null").select("v", "s", F.lit(False).alias("looped")).unionByName(below.select("v", "s", F.lit(True).alias("looped"))))
         cut_links = sound.join(loops, "v", "left_anti")
     else:
         loops, sized, cut_links = None, sized.select("v", "s", F.lit(False).alias("looped")), sound
@@ -134,7 +134,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True, separator:
     best = best.select("parent", (-F.col("b.neg")).alias("heavy"), "children")
     child = child.join(best, "parent").withColumn("light", (F.col("v") != F.col("heavy")).cast("int"))
     part = F.when(F.col("children") > MANY_CHILDREN, F.pmod(F.xxhash64("v"), F.lit(HASHED))).otherwise(F.lit(0)) * F.col("light")
-    child = _replace(None, child.select("v", "s", "parent", "light", "children", part.alias("part")))
+    child = cut(child.select("v", "s", "parent", "light", "children", part.alias("part")))
     inside_part = Window.partitionBy("parent", "part").orderBy("light", "v")
     few = child.withColumn("offset", F.sum("s").over(inside_part) - F.col("s"))
     many = child.filter(F.col("children") > MANY_CHILDREN)
@@ -143,13 +143,13 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True, separator:
     numbered = few.join(parts, ["parent", "part"], "left").select("v", "parent", "light", (F.col("offset") + F.coalesce("skip", F.lit(0))).alias("offset"))
 
     t = t.drop("parent").join(numbered, "v", "left")
-    t = _replace(None, t)
+    t = cut(t)
     in_chain = _follow(t.select("v", F.when(F.col("light") == 0, F.col("parent")).alias("j"), F.when(F.col("light") == 0, F.col("parent")).otherwise(F.col("v")).alias("top"), F.when(F.col("light") == 0, 1).otherwise(0).cast("bigint").alias("pos")), ["pos"], [])
     placed = t.join(in_chain.select("v", F.col("top").alias("head"), "pos"), "v")
     if paths:
         so_far = Window.partitionBy("head").orderBy("pos")
         placed = placed.join(ids, "v").withColumn("segment", F.concat(F.array_join(F.collect_list(F.coalesce("label", F.lit(""))).over(so_far), separator), F.lit(separator)))
-    placed = _replace(None, placed)
+    placed = cut(placed)
 
     # One row per chain: where its head hangs, and what that adds to depth, number and path.
     texts = ["prefix"] if paths else []

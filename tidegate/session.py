@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -49,22 +50,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table with fewer partitions than cores out to all cores; larger ones stay as they are.
+
+    For work that costs far more than moving the rows, on tables that come in few small files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, no recomputation.
 
     The files survive the loss of executors. They are removed when the driver's Python ends,
     or earlier by ``drop``.
     """
+    return cut_and_count(df, None)[0]
+
+
+def cut_and_count(df: DataFrame, which: str | None) -> tuple[DataFrame, int]:
+    """``cut``, and how many of the rows satisfy the SQL condition ``which``, counted as they are written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegate-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "lz4")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    seen = Observation()
+    counted = df if which is None else df.observe(seen, F.count_if(F.expr(which)).alias("n"))
+    counted.write.option("compression", "lz4").parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._tidegate_path = path
-    return back
+    return back, 0 if which is None else int(seen.get["n"])
 
 
 def drop(df: DataFrame) -> None:
