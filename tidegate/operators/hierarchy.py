@@ -154,7 +154,9 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True, separator:
     # One row per chain: where its head hangs, and what that adds to depth, number and path.
     texts = ["prefix"] if paths else []
     at = placed.select(F.col("v").alias("parent"), F.col("head").alias("up"), F.col("pos").alias("up_pos"), *([F.col("segment").alias("up_segment")] if paths else []))
-    heads = placed.filter("v = head").select("v", "parent", "offset").join(at, "parent", "left")
+    heads = placed.filter("v = head").select("v", "parent", "offset")
+    # Heads without a parent would all meet in one task of an outer join.
+    heads = heads.filter("parent is not null").join(at, "parent").unionByName(heads.filter("parent is null"), allowMissingColumns=True)
     rise = F.coalesce(F.col("up_pos") + 1, F.lit(0))
     chains = _follow(
         heads.select(
