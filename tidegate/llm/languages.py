@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.words import Numbered, accented_words, portions
+from tidegate.session import spread
 
 BLOCK, MIN_PASSAGE, MIN_WORDS = 4, 20, 20
 #: Filters by width in bytes.
@@ -100,29 +101,31 @@ class ByteNet:
         self.out_bias = np.zeros(len(classes), np.float32)
         self.scale = 1.0
 
-    def features(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def features(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of all filters over each row of bytes up to its length, and where they are."""
-        tops, places = [], []
-        for w, f in self.filters.items():
-            n = x.shape[1] - w + 1
-            y = f[0][x[:, :n]]
-            for k in range(1, w):
-                y += f[k][x[:, k : k + n]]
-            y[np.arange(n) > (length - w)[:, None]] = -1e9
-            at = y.argmax(1)
-            tops.append(np.take_along_axis(y, at[:, None, :], 1)[:, 0])
-            places.append(at)
-        return np.maximum(np.concatenate(tops, 1) + self.bias, 0), places
+        tops = np.empty((len(x), len(self.bias)), np.float32)
+        places = np.empty(tops.shape, np.int64)
+        order = np.argsort(length, kind="stable")
+        for i in range(0, len(order), 128):  # rows of about one length together
+            rows = order[i : i + 128]
+            some, ends, col = x[rows, : length[rows[-1]]], length[rows], 0
+            for w, f in self.filters.items():
+                n = some.shape[1] - w + 1
+                y = f[0][some[:, :n]]
+                for k in range(1, w):
+                    y += f[k][some[:, k : k + n]]
+                y[np.arange(n) > (ends - w)[:, None]] = -1e9
+                at = y.argmax(1)
+                tops[rows, col : col + f.shape[2]] = np.take_along_axis(y, at[:, None, :], 1)[:, 0]
+                places[rows, col : col + f.shape[2]] = at
+                col += f.shape[2]
+        return np.maximum(tops + self.bias, 0), places
 
     def word_features(self, words: list[str]) -> np.ndarray:
         """Features of words as 8-bit integers (of ``scale``)."""
         parts = [_bytes(w) for w in words]
         pieces, first = [p for ps in parts for p in ps], np.cumsum([0, *map(len, parts[:-1])])
-        got = np.empty((len(pieces), len(self.bias)), np.float32)
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for i in range(0, len(order), 512):
-            some = order[i : i + 512]
-            got[some] = self.features(*_matrix([pieces[j] for j in some]))[0]
+        got = self.features(*_matrix(pieces))[0]
         return np.clip(np.rint(np.maximum.reduceat(got, first) * self.scale), 0, 127).astype(np.int8)
 
     def probabilities(self, pooled: np.ndarray) -> np.ndarray:
@@ -212,7 +215,7 @@ def train(clean: list[tuple[str, str]], labelled: list[tuple[str, str]], steps:
             cols = slice(starts[j], starts[j + 1])
             u, g = word[:, cols], g_pool[:, cols]
             f = np.broadcast_to(np.arange(g.shape[1]), g.shape)
-            at = places[j][u, f]
+            at = places[:, cols][u, f]
             grad = np.zeros(net.filters[w].size, np.float32)
             for k in range(w):
                 flat = (k * 256 + x[u, at + k].astype(np.int64)) * g.shape[1] + f
@@ -386,7 +389,7 @@ def passages(documents: DataFrame, net: ByteNet) -> DataFrame:
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES)], names=_NAMES)
 
-    return documents.select("doc_id", "lang", "text").mapInArrow(run, PASSAGES)
+    return spread(documents.select("doc_id", "lang", "text")).mapInArrow(run, PASSAGES)
 
 
 _TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.float64(), pa.bool_()]
