@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.session import cut
+from tidegate.session import cut, spread
 
 #: Blocks a source has at most, sub-blocks of a block, records of a block at least (about).
 BLOCKS, SUB_BLOCKS, BLOCK_RECORDS = 2_048, 1_024, 64
@@ -111,7 +111,7 @@ def token_counts(df: DataFrame, keys: list[str], text: str, tokenizer: str) -> D
                 counts = [counter.count(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*keys, "tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 @dataclass
