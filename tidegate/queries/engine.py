@@ -207,7 +207,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"l": table(spark, sf_dir, "lineitem")}
 
 
-_SUMS = {"n": "count(*)", "quantity": "round(sum(l_quantity), 2)", "price": "round(sum(l_extendedprice), 1)"}
+_SUMS = {"n": "count(*)", "quantity": "round(sum(l_quantity), 2)", "cents": "sum(CAST(round(l_extendedprice * 100) AS BIGINT))"}
 
 
 def aggregate_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,7 +383,7 @@ _V = f"v AS (SELECT o_orderkey, t.field, t.rule, t.bad FROM x, LATERAL (VALUES {
 _C = "(SELECT * FROM customer WHERE c_mktsegment = 'BUILDING')"
 _S = "r AS (SELECT c_custkey AS k, c_acctbal FROM customer WHERE c_acctbal > 0), s AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey)"
 _A, _B = "(SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 30)", "(SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 10)"
-_N = "count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 1) AS price"
+_N = "count(*) AS n, round(sum(l_quantity), 2) AS quantity, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS cents"
 _LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY " + ", ".join(f"{c} DESC" for c in _ORDER) + ") AS rn FROM lineitem) WHERE rn = 1)"
 _O = ", ".join(_ORDER)
 _W = "SELECT o_orderkey, o_custkey, o_orderdate, round(o_totalprice * 100)::BIGINT AS cents FROM orders"
