@@ -75,6 +75,11 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hierarchy(spark, sf_dir, True).select("node_id", "root_id", "depth", "status", "path", "n_descendants", "tree_no", "descendants_from", "descendants_to")
 
 
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with its path, depth, root and number of descendants."""
+    return _hierarchy(spark, sf_dir, True).select("node_id", "root_id", "depth", "status", "path", "n_descendants")
+
+
 def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs (once each, in their furthest state) and the rows their steps rejected, by start day."""
     state = F.upper(F.trim("state"))
@@ -111,7 +116,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_totals(runs, "pipeline_id", "day", ["runs"], WINDOWS).filter("runs = 0").select("pipeline_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "window_days")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_busy_share, p3_found, p3_unified_records, p4_found, p4_messages, p5_found, p5_hierarchy, p6_found, p6_rolling_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_busy_share, p3_found, p3_unified_records, p4_found, p4_messages, p5_found, p5_hierarchy, p5_paths, p6_found, p6_rolling_totals)}
 
 _ISLANDS = """
 i AS (SELECT DISTINCT execution_id, epoch_us(started_at) a, epoch_us(finished_at) b FROM step_executions WHERE finished_at > started_at),
@@ -134,6 +139,14 @@ w AS (SELECT unnest([7, 30])::BIGINT AS window_days)
 
 _SUMS = ", ".join(f"count(CASE WHEN d.k = {k} THEN 1 END) AS runs_{n}" for n, k in (("created", 1), ("validated", 2), ("running", 3), ("completed", 6), ("failed", 5), ("resuming", 4)))
 
+_LINKS = """ids AS (SELECT DISTINCT id FROM lineage_nodes),
+        l AS (SELECT target_node_id AS c, min(source_node_id) AS p FROM lineage_edges WHERE source_node_id IN (SELECT id FROM ids) AND target_node_id IN (SELECT id FROM ids) GROUP BY 1),
+        t(n, r, d) AS (SELECT c, p, 1::BIGINT FROM l WHERE p NOT IN (SELECT c FROM l) UNION ALL SELECT l.c, t.r, t.d + 1 FROM l JOIN t ON l.p = t.n),
+        u AS (SELECT * FROM l WHERE c NOT IN (SELECT n FROM t)),
+        w(v, a) AS (SELECT c, p FROM u UNION SELECT w.v, u.p FROM w JOIN u ON w.a = u.c),
+        y AS (SELECT v, min(a) AS r FROM w WHERE v IN (SELECT v FROM w WHERE v = a) GROUP BY v),
+        b(n, r, d) AS (SELECT v, r, 0::BIGINT FROM y UNION ALL SELECT u.c, b.r, b.d + 1 FROM u JOIN b ON u.p = b.n WHERE u.c NOT IN (SELECT v FROM y))"""
+
 ORACLE = {
     "p1_found": f"WITH {_ISLANDS} SELECT * FROM f",
     "p1_busy_share": f"""WITH {_ISLANDS} SELECT execution_id, count(CASE WHEN kind = 'period' THEN 1 END) AS periods, count(CASE WHEN kind = 'gap' THEN 1 END) AS gaps,
@@ -150,15 +163,17 @@ ORACLE = {
         UNION ALL SELECT d, e, 'removed', n, '' FROM gone WHERE (d, e, n) NOT IN (SELECT (d, e, a) FROM r)
         UNION ALL SELECT d, e, 'added', '', n FROM come WHERE (d, e, n) NOT IN (SELECT (d, e, b) FROM r)
         UNION ALL SELECT d, e, 'type_changed', n, n FROM o JOIN w USING (d, e, n) WHERE o.k <> w.k""",
-    "p5_found": """WITH RECURSIVE ids AS (SELECT DISTINCT id FROM lineage_nodes),
-        l AS (SELECT target_node_id AS c, min(source_node_id) AS p FROM lineage_edges WHERE source_node_id IN (SELECT id FROM ids) AND target_node_id IN (SELECT id FROM ids) GROUP BY 1),
-        t(n, r, d) AS (SELECT c, p, 1::BIGINT FROM l WHERE p NOT IN (SELECT c FROM l) UNION ALL SELECT l.c, t.r, t.d + 1 FROM l JOIN t ON l.p = t.n),
-        u AS (SELECT * FROM l WHERE c NOT IN (SELECT n FROM t)),
-        w(v, a) AS (SELECT c, p FROM u UNION SELECT w.v, u.p FROM w JOIN u ON w.a = u.c),
-        y AS (SELECT v, min(a) AS r FROM w WHERE v IN (SELECT v FROM w WHERE v = a) GROUP BY v),
-        b(n, r, d) AS (SELECT v, r, 0::BIGINT FROM y UNION ALL SELECT u.c, b.r, b.d + 1 FROM u JOIN b ON u.p = b.n WHERE u.c NOT IN (SELECT v FROM y))
+    "p5_found": f"""WITH RECURSIVE {_LINKS}
         SELECT n AS node_id, r AS root_id, d AS depth, 'tree' AS status FROM t
         UNION ALL SELECT n, r, d, CASE WHEN d = 0 THEN 'cycle' ELSE 'below_cycle' END FROM b""",
+    "p5_paths": f"""WITH RECURSIVE {_LINKS},
+        f AS (SELECT * FROM l WHERE c NOT IN (SELECT v FROM y)),
+        m AS (SELECT id, min(concat_ws('.', dataset_name, field_name)) AS label FROM lineage_nodes GROUP BY id),
+        g(n, top, d, path) AS (SELECT id, id, 0::BIGINT, label FROM m WHERE id NOT IN (SELECT c FROM f) UNION ALL SELECT f.c, g.top, g.d + 1, g.path || ' > ' || m.label FROM f JOIN g ON f.p = g.n JOIN m ON m.id = f.c),
+        a(n, up) AS (SELECT c, p FROM f UNION ALL SELECT a.n, f.p FROM a JOIN f ON a.up = f.c),
+        z AS (SELECT up, count(*) AS n FROM a GROUP BY up)
+        SELECT g.n AS node_id, coalesce(y.r, g.top) AS root_id, g.d AS depth, CASE WHEN y.v IS NULL THEN 'tree' WHEN g.d = 0 THEN 'cycle' ELSE 'below_cycle' END AS status, path, coalesce(z.n, 0) AS n_descendants
+        FROM g LEFT JOIN y ON y.v = g.top LEFT JOIN z ON z.up = g.n""",
     "p4_found": "SELECT topic, _kafka_partition, _kafka_offset FROM kafka_orders GROUP BY ALL HAVING count(*) > 1",
     "p4_messages": "SELECT topic, _kafka_partition, _kafka_offset, min(polled_at) AS polled_at, count(*) AS copies FROM kafka_orders GROUP BY topic, _kafka_partition, _kafka_offset",
     "p6_found": """WITH d AS (SELECT DISTINCT pipeline_id, started_at::DATE AS day FROM pipeline_executions WHERE started_at IS NOT NULL),
