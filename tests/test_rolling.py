@@ -3,7 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from tidegate.operators.rolling import rolling_totals
+from tidegate.queries import problems
 
 SCHEMA = "who string, day date, n bigint, window_days_note string"
 
@@ -38,3 +40,8 @@ def test_average_divides_by_the_whole_period(spark):
 
 def test_empty(spark):
     assert rolling_totals(spark.createDataFrame([], SCHEMA), "who", "day", ["n"], [7]).filter(F.lit(True)).count() == 0
+
+
+def test_every_measure_has_its_average(spark):
+    averages = problems.p6_rolling_averages(spark, str(DATA))
+    assert {f"{m}_per_day" for m in problems.MEASURES} <= set(averages.columns)

@@ -110,13 +110,19 @@ def p6_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pipeline_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "window_days", *MEASURES, F.round("runs_per_day", 6).alias("runs_per_day"), F.round("rows_rejected_per_day", 3).alias("rows_rejected_per_day"))
 
 
+def p6_rolling_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every total of p6_rolling_totals as an average per day of its period."""
+    out = rolling_totals(_activity(spark, sf_dir), "pipeline_id", "day", MEASURES, [7, 30])
+    return out.select("pipeline_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "window_days", *[F.round(f"{m}_per_day", 3 if m == "rows_rejected" else 6).alias(f"{m}_per_day") for m in MEASURES])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of a pipeline's life without any run in the trailing 1, 7 or 30 days."""
     runs = table(spark, sf_dir, "pipeline_executions").filter(F.col("started_at").isNotNull()).select("pipeline_id", F.col("started_at").cast("date").alias("day"), F.lit(1).alias("runs"))
     return rolling_totals(runs, "pipeline_id", "day", ["runs"], WINDOWS).filter("runs = 0").select("pipeline_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "window_days")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_busy_share, p3_found, p3_unified_records, p4_found, p4_messages, p5_found, p5_hierarchy, p5_paths, p6_found, p6_rolling_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_busy_share, p3_found, p3_unified_records, p4_found, p4_messages, p5_found, p5_hierarchy, p5_paths, p6_found, p6_rolling_totals, p6_rolling_averages)}
 
 _ISLANDS = """
 i AS (SELECT DISTINCT execution_id, epoch_us(started_at) a, epoch_us(finished_at) b FROM step_executions WHERE finished_at > started_at),
@@ -139,6 +145,8 @@ w AS (SELECT unnest([7, 30])::BIGINT AS window_days)
 
 _SUMS = ", ".join(f"count(CASE WHEN d.k = {k} THEN 1 END) AS runs_{n}" for n, k in (("created", 1), ("validated", 2), ("running", 3), ("completed", 6), ("failed", 5), ("resuming", 4)))
 
+_MEANS = ", ".join(f"round(count(CASE WHEN d.k = {k} THEN 1 END) / window_days::DOUBLE, 6) AS runs_{n}_per_day" for n, k in (("created", 1), ("validated", 2), ("running", 3), ("completed", 6), ("failed", 5), ("resuming", 4)))
+
 _LINKS = """ids AS (SELECT DISTINCT id FROM lineage_nodes),
         l AS (SELECT target_node_id AS c, min(source_node_id) AS p FROM lineage_edges WHERE source_node_id IN (SELECT id FROM ids) AND target_node_id IN (SELECT id FROM ids) GROUP BY 1),
         t(n, r, d) AS (SELECT c, p, 1::BIGINT FROM l WHERE p NOT IN (SELECT c FROM l) UNION ALL SELECT l.c, t.r, t.d + 1 FROM l JOIN t ON l.p = t.n),
@@ -184,4 +192,7 @@ ORACLE = {
     "p6_rolling_totals": f"""WITH {_RUNS} SELECT c.pipeline_id, strftime(c.day, '%Y-%m-%d') AS day, window_days, count(d.day) AS runs, {_SUMS},
         coalesce(sum(d.rr), 0)::BIGINT AS rows_rejected, round(count(d.day) / window_days::DOUBLE, 6) AS runs_per_day, round(coalesce(sum(d.rr), 0) / window_days::DOUBLE, 3) AS rows_rejected_per_day
         FROM c CROSS JOIN w LEFT JOIN d ON d.pipeline_id = c.pipeline_id AND d.day <= c.day AND d.day > c.day - window_days::INT GROUP BY c.pipeline_id, c.day, window_days""",
+    "p6_rolling_averages": f"""WITH {_RUNS} SELECT c.pipeline_id, strftime(c.day, '%Y-%m-%d') AS day, window_days, round(count(d.day) / window_days::DOUBLE, 6) AS runs_per_day, {_MEANS},
+        round(coalesce(sum(d.rr), 0) / window_days::DOUBLE, 3) AS rows_rejected_per_day
+        FROM c CROSS JOIN w LEFT JOIN d ON d.pipeline_id = c.pipeline_id AND d.day <= c.day AND d.day > c.day - window_days::INT GROUP BY c.pipeline_id, c.day, window_days""",
 }
