@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidegate.operators.drift import SchemaMachine, dataset_table, schema_changes, schema_versions, unified_records
+from tidegate.operators.drift import Migration, SchemaMachine, dataset_table, schema_changes, schema_versions, unified_records
 
 NODES = "id bigint, execution_id string, dataset_name string, field_name string, data_type string, change string"
 RUNS = "id string, started_at timestamp_ntz, state string"
@@ -85,3 +85,17 @@ def test_records_in_the_last_schema(spark):
     typed = dataset_table(unified_records(records, nodes(spark, *VERSIONS), runs(spark, 4)), [(f["name"], f["type"]) for f in last], "ds")
     assert dict(typed.dtypes) == {"record_id": "bigint", "execution_id": "string", "b2": "string", "c": "date", "d": "bigint"}
     assert typed.filter("record_id = 6").first()["d"] == 9
+
+
+def test_a_removed_field_does_not_meet_a_later_one_of_its_name(spark):
+    versions = [("e0", [("a", "long"), ("b", "long")]), ("e1", [("a", "long")]), ("e2", [("b", "long")])]
+    records = spark.createDataFrame([(1, "e0", "ds", '{"a": 1, "b": 2}'), (2, "e1", "ds", '{"b": 2, "a": 1}'), (3, "e2", "ds", '{"b": 3}')], "record_id bigint, execution_id string, dataset_name string, payload string")
+    got = {r["record_id"]: r for r in unified_records(records, nodes(spark, *versions), runs(spark, 3)).collect()}
+    assert [(got[i]["fields"], got[i]["extra"], got[i]["misfits"]) for i in (1, 2, 3)] == [({"b": "1"}, {"b": "2"}, ""), ({"b": "1"}, {"b": "2"}, "b"), ({"b": "3"}, {}, "")]
+
+
+def test_routes_end_at_a_removal_and_begin_again_where_the_name_is_added():
+    step = lambda at, change, before, after: {"started_us": at, "execution_id": f"e{at}", "change": change, "field_before": before, "field_after": after}
+    chain = Migration([step(1, "renamed", "a", "b"), step(2, "removed", "b", ""), step(3, "added", "", "b")], [])
+    assert chain.route((0, ""), ["a"]) == {"a": "b"}
+    assert Migration(chain.steps[:2], []).route((0, ""), ["a"]) == {"a": None}

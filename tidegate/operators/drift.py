@@ -14,7 +14,10 @@ Defined results:
 * a field recorded several times in an execution counts once, at its smallest id;
 * rows with a null dataset, execution, field or id are ignored, as are executions without a start,
   since they have no place in the order; executions that start together are ordered by their id;
-* fields of a record that no schema knows are kept in ``extra``; a payload that is no JSON object
+* fields of a record that no schema knows are kept in ``extra``, as are values of a field that was
+  removed later, unless a field of that name was added again; where several keys of a record lead
+  to one field, a key that was renamed to it goes first, the others are kept in ``extra`` and the
+  field is named in ``misfits``; a payload that is no JSON object
   gives ``status`` = ``broken``; a value that does not fit the type is null and named in ``misfits``;
 * an empty table gives an empty result; extra columns are ignored.
 
@@ -208,13 +211,18 @@ class Migration:
     def __init__(self, steps: list[dict], last: list[dict]):
         self.steps = sorted(steps, key=lambda s: (s["started_us"], s["execution_id"]))
         self.last = {f["name"]: f["type"] for f in last}
-        self.routes: dict[tuple, dict[str, str | None]] = {}
+        self.routes: dict[tuple, tuple[dict[str, str | None], dict[str, str]]] = {}
 
     def route(self, at: tuple, names: list[str]) -> dict[str, str | None]:
         """For each field name at the time ``at`` its name in the last schema; None if it was removed."""
+        return self.traced(at, names)[0]
+
+    def traced(self, at: tuple, names: list[str]) -> tuple[dict[str, str | None], dict[str, str]]:
+        """The route, and the name under which a field was removed last."""
         key = (at, tuple(names))
         if key not in self.routes:
             to: dict[str, str | None] = {n: n for n in names}
+            gone: dict[str, str] = {}
             i = 0
             later = [s for s in self.steps if (s["started_us"], s["execution_id"]) > at]
             while i < len(later):  # the steps of one execution apply at once
@@ -222,11 +230,19 @@ class Migration:
                 while j < len(later) and later[j]["execution_id"] == later[i]["execution_id"]:
                     j += 1
                 renames = {s["field_before"]: s["field_after"] for s in later[i:j] if s["change"] == "renamed"}
-                to = {n: renames.get(now, now) for n, now in to.items()}
+                removed = {s["field_before"] for s in later[i:j] if s["change"] == "removed"}
+                added = {s["field_after"] for s in later[i:j] if s["change"] == "added"}
+                for n, now in to.items():
+                    if now is None:
+                        to[n] = gone[n] if gone[n] in added else None
+                    elif now in removed:
+                        gone[n], to[n] = now, None
+                    else:
+                        to[n] = renames.get(now, now)
                 i = j
             if len(self.routes) > 10_000:
                 self.routes.clear()
-            self.routes[key] = to
+            self.routes[key] = to, gone
         return self.routes[key]
 
 
@@ -248,18 +264,24 @@ def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((ds, rid, ex, "broken", [], [], ""))
                 continue
             record = {k.strip().lower(): v for k, v in record.items()}
-            to = chain.route((started if started is not None else 2**62, ex or ""), sorted(record))
+            to, gone = chain.traced((started if started is not None else 2**62, ex or ""), sorted(record))
             fields: dict[str, str | None] = dict.fromkeys(chain.last)
             extra, misfits = {}, []
-            for k, v in record.items():
+            taken: set[str] = set()
+            for k, v in sorted(record.items(), key=lambda kv: to[kv[0]] == kv[0]):  # renamed keys first
                 name = to[k]
-                if name in chain.last:
+                if name in chain.last and name not in taken:
+                    taken.add(name)
                     fields[name], fits = _value(chain.last[name], v)
                     if not fits:
                         misfits.append(name)
                 else:
-                    extra[name] = v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
-            rows.append((ds, rid, ex, "whole", list(fields.items()), list(extra.items()), ",".join(sorted(misfits))))
+                    kept = gone[k] if name is None else k
+                    kept = k if kept in record or kept in extra else kept
+                    extra[kept] = v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
+                    if name in taken:
+                        misfits.append(name)
+            rows.append((ds, rid, ex, "whole", list(fields.items()), list(extra.items()), ",".join(sorted(set(misfits)))))
         yield _batch(rows, _UNIFIED) if rows else pa.RecordBatch.from_pylist([], _UNIFIED)
 
 
