@@ -351,6 +351,20 @@ def lineage_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachable(_edges(spark, sf_dir), marts, downstream=False).select("node_id")
 
 
+def _nodes_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return table(spark, sf_dir, "lineage_nodes").filter(f"lower(trim(dataset_name)) LIKE '%{kind}'").select(F.col("id").alias("node_id"))
+
+
+def lineage_downstream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields that the raw fields of any dataset lead to."""
+    return reachable(_edges(spark, sf_dir), _nodes_of(spark, sf_dir, "raw")).select("node_id")
+
+
+def lineage_upstream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields that the marts of any dataset come from."""
+    return reachable(_edges(spark, sf_dir), _nodes_of(spark, sf_dir, "mart"), downstream=False).select("node_id")
+
+
 def lineage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_nodes(table(spark, sf_dir, "lineage_nodes").select(F.col("id").alias("node_id")).distinct(), _edges(spark, sf_dir))
 
@@ -372,7 +386,7 @@ _FUNCTIONS = [
     join_right, join_full, join_semi, join_anti, join_multi_key, join_asof, join_range, quality_report_summary, quality_violations, quality_unique, quality_referential, quality_distribution,
     select_rename, select_expressions, derive_columns, aggregate_groupby, aggregate_having, agg_rollup, agg_cube, agg_grouping_sets, window_rank, window_running, window_frame, topk, distinct_rows, distinct_by_key,
     union_all, union_distinct, intersect_distinct, intersect_all, except_distinct, except_all, sql_named_params, sql_cte_subquery, sql_recursive, upsert_merge, kafka_payload, kafka_parse, json_props_extract,
-    lineage_downstream, lineage_upstream, lineage_sources, events_tumbling, events_sliding, events_session,
+    lineage_downstream, lineage_upstream, lineage_downstream_all, lineage_upstream_all, lineage_sources, events_tumbling, events_sliding, events_session,
 ]
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"quality_not_null": _one_rule(1), "quality_range": _one_rule(2), "quality_regex": _one_rule(3), "quality_freshness": _one_rule(4)}
 
@@ -394,6 +408,11 @@ def _reach(name: str, a: str, b: str) -> str:
         t(n) AS (SELECT b FROM e JOIN s ON e.a = s.id UNION SELECT e.b FROM e JOIN t ON e.a = t.n) SELECT n AS node_id FROM t WHERE n NOT IN (SELECT id FROM s)"""
 
 
+def _reach_all(name: str, a: str, b: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT {a} AS a, {b} AS b FROM lineage_edges), s AS (SELECT DISTINCT id FROM lineage_nodes WHERE lower(trim(dataset_name)) LIKE '%{name}'),
+        t(n) AS (SELECT b FROM e JOIN s ON e.a = s.id UNION SELECT e.b FROM e JOIN t ON e.a = t.n) SELECT n AS node_id FROM t WHERE n NOT IN (SELECT id FROM s)"""
+
+
 ORACLE = {
     "demo_orders_enriched": "SELECT orders.*, c_custkey, c_name, c_nationkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND o_totalprice > 0",
     "source_parquet_project": "SELECT c_custkey, upper(c_name) AS name, c_acctbal FROM customer",
@@ -448,6 +467,8 @@ ORACLE = {
     "json_props_extract": "SELECT event_id, props->>'$.k' AS k, len(json_keys(props))::BIGINT AS n_keys FROM events",
     "lineage_downstream": _reach("raw", "source_node_id", "target_node_id"),
     "lineage_upstream": _reach("mart", "target_node_id", "source_node_id"),
+    "lineage_downstream_all": _reach_all("raw", "source_node_id", "target_node_id"),
+    "lineage_upstream_all": _reach_all("mart", "target_node_id", "source_node_id"),
     "lineage_sources": "SELECT DISTINCT id AS node_id FROM lineage_nodes WHERE id NOT IN (SELECT target_node_id FROM lineage_edges WHERE target_node_id IS NOT NULL)",
     "events_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL",
     "events_sliding": "SELECT s AS window_start, s + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 4 HOUR]) AS s FROM events) GROUP BY ALL",
