@@ -228,3 +228,16 @@ def test_metrics_text():
     text = m.text()
     assert 'le="0.5"} 0' in text and 'le="1"} 1' in text and 'step="a\\"b"' in text and 'rule="RANGE"} 0.25' in text
     json.dumps(text)
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tidegate.errors import TidegateError
+    from tidegate.session import shared_dir
+
+    context = SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(TidegateError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.errors import TidegateError
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -39,12 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local mode) a temporary folder is set.
+    Where none is named, local mode gets a temporary folder; on a cluster that would be a different
+    folder on every machine, so there it is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     found = found or sc.getCheckpointDir()
     if not found:
+        if sc.master.partition("[")[0] != "local":
+            raise TidegateError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tidegate-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
