@@ -101,6 +101,13 @@ class ByteNet:
         self.out_bias = np.zeros(len(classes), np.float32)
         self.scale = 1.0
 
+    @classmethod
+    def of(cls, values: dict) -> ByteNet:
+        """The network with these variables."""
+        net = cls.__new__(cls)
+        vars(net).update(values)
+        return net
+
     def features(self, x: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of all filters over each row of bytes up to its length, and where they are."""
         tops = np.empty((len(x), len(self.bias)), np.float32)
@@ -368,10 +375,11 @@ def passages(documents: DataFrame, net: ByteNet) -> DataFrame:
 
     A document without words has one row with language ``und``.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(net)  # a few hundred kilobytes, whatever the data
+    # A few hundred kilobytes, whatever the data; plain values, since broadcasts name classes by their module.
+    sent = documents.sparkSession.sparkContext.broadcast(vars(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value)
+        reader = Reader(ByteNet.of(sent.value))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-import functools
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 
 SOFT_HYPHEN = 0xAD
 
 
-@functools.cache
+def once(name: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept for the life of the Python process.
+
+    It is kept by the interpreter and not in this module: functions travel to executors by value, so
+    each task has its own copy of the module's variables, and a cached function would travel by name.
+    """
+    kept = sys.__dict__.setdefault("tidegate_tables", {})
+    if name not in kept:
+        kept[name] = build()
+    return kept[name]
+
+
 def _plan() -> tuple[np.ndarray, np.ndarray]:
     """Per code point: whether it stays, and itself or a blank (for what is no letter or digit)."""
+    return once("words", _build_plan)
+
+
+def _build_plan() -> tuple[np.ndarray, np.ndarray]:
     stays, becomes = np.ones(sys.maxunicode + 1, bool), np.full(sys.maxunicode + 1, ord(" "), np.uint32)
     for c in range(sys.maxunicode + 1):
         ch = chr(c)
