@@ -9,10 +9,15 @@ NODES, LINKS = "id bigint, label string, path string, s int", "parent bigint, ch
 
 
 def check(spark, ids, links, paths=True):
-    """Against walks up and down in plain Python."""
+    """Against walks up and down in plain Python: small trees gathered, and all trees by joins."""
+    rows = [_check(spark, ids, links, paths, target) for target in (1_000, 0)]
+    assert rows[0] == rows[1]
+
+
+def _check(spark, ids, links, paths, target_rows):
     label = {i: f"n{i}" for i in ids}
     nodes = spark.createDataFrame([(i, label[i], "?", 1) for i in ids] + [(i, label[i], "?", 1) for i in list(ids)[:3]], NODES)
-    got = {r["node_id"]: r for r in hierarchy(nodes, spark.createDataFrame([(p, c, 0) for p, c in links], LINKS), paths).collect()}
+    got = {r["node_id"]: r for r in hierarchy(nodes, spark.createDataFrame([(p, c, 0) for p, c in links], LINKS), paths, target_rows=target_rows).collect()}
     parent: dict = {}
     for p, c in links:
         if p in label and c in label:
@@ -43,6 +48,7 @@ def check(spark, ids, links, paths=True):
             assert got[w]["tree_no"] == r["tree_no"] and got[w]["descendants_from"] <= r["number"] <= got[w]["descendants_to"]
     assert all(got[v]["n_descendants"] == below[v] == got[v]["descendants_to"] - got[v]["descendants_from"] + 1 for v in ids)
     assert len({(r["tree_no"], r["number"]) for r in got.values()}) == len(got)
+    return got
 
 
 def test_trees_cycles_tails_and_broken_links(spark):
@@ -51,8 +57,7 @@ def test_trees_cycles_tails_and_broken_links(spark):
 
 
 def test_deep_chain_and_wide_node(spark, monkeypatch):
-    monkeypatch.setattr(module, "MANY_CHILDREN", 10)
-    monkeypatch.setattr(module, "HASHED", 4)
+    monkeypatch.setattr(module, "PIECE", 8)
     check(spark, range(160), [(i, i + 1) for i in range(90)] + [(3, i) for i in range(91, 160)])
 
 
@@ -62,6 +67,11 @@ def test_random_graphs(spark, seed):
     check(spark, range(80), [(rng.randrange(80), c) for c in range(80) if rng.random() < 0.9], paths=seed == 1)
 
 
+def test_trees_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(module, "BATCH", 20)
+    check(spark, range(200), [(i - 1, i) for i in range(200) if i % 7] + [(i - 7, i) for i in range(7, 200, 14)])
+
+
 def test_several_parents_null_ends_and_null_labels(spark):
     nodes = spark.createDataFrame([(1, "a", "", 0), (2, None, "", 0), (3, "c", "", 0), (None, "x", "", 0)], NODES)
     links = spark.createDataFrame([(3, 2, 0), (1, 2, 0), (None, 3, 0), (1, None, 0)], LINKS)
