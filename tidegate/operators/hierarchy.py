@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.session import cut, cut_and_count, drop
+from tidegate.session import cut, cut_and_count, drop, read_cuts
 
 #: Trees of more nodes are worked on in parts, by joins.
 TARGET_ROWS = 100_000
@@ -61,21 +61,21 @@ class _Rounds:
     """Rows (v, j, ...) of pointer doubling: those that have ended, by the round they ended in, and those that go on."""
 
     def __init__(self, t: DataFrame):
-        self.now, self.pointing = cut_and_count(t, POINTS)
-        self.parts = [self.now]
+        self.parts: list[DataFrame] = []
+        self._write(t)
+
+    def _write(self, t: DataFrame) -> None:
+        self.now, self.pointing = cut_and_count(t.withColumn("k", F.lit(len(self.parts))), POINTS)
+        self.parts.append(self.now)
 
     def everyone(self) -> DataFrame:
-        out = self.now
-        for part in self.parts[:-1]:
-            out = out.unionByName(part.filter(ENDS))
-        return out
+        """All rows as they are now: the last round's, and those that ended before. One scan, whatever the number of rounds."""
+        return read_cuts(self.parts).filter(f"{ENDS} or k = {len(self.parts) - 1}").drop("k")
 
     def step(self, take: list[str], columns: list) -> int:
         """One doubling; how many rows ended in it."""
-        moved = _hop(self.now, self.everyone(), take).select("v", *columns)
         before = self.pointing
-        self.now, self.pointing = cut_and_count(moved, POINTS)
-        self.parts.append(self.now)
+        self._write(_hop(self.now, self.everyone(), take).select("v", *columns))
         return before - self.pointing
 
     def drop(self) -> None:

@@ -86,6 +86,11 @@ def cut_and_count(df: DataFrame, which: str | None) -> tuple[DataFrame, int]:
     return back, 0 if which is None else int(seen.get["n"])
 
 
+def read_cuts(parts: list[DataFrame]) -> DataFrame:
+    """The rows of several frames from ``cut`` that have the same columns in the same order, in one scan."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p._tidegate_path for p in parts])
+
+
 def drop(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``; other frames are left alone."""
     path = getattr(df, "_tidegate_path", None)
