@@ -37,6 +37,16 @@ def test_batches_one_after_another(spark, tmp_path):
     assert ingest(store, batches[0][0].limit(0), "b10") == set()
 
 
+def test_a_batch_repeated_under_any_id_gives_its_rows_again(spark, tmp_path):
+    df = spark.createDataFrame([("a", i, None if i == 2 else 1, i, "x") for i in range(3)], SCHEMA)
+    want = {("a", i, i, 1) for i in range(3)}
+    for n, name in enumerate(["007", "7", "1e3", "2024-01-01", "a/b=c d", "", "null"]):
+        store = DedupStore(spark, str(tmp_path / f"s{n}"), ["topic", "off"])
+        assert ingest(store, df, name) == want
+        assert ingest(store, df, name) == want
+        assert ingest(store, df, name + "x") == set()
+
+
 def test_filters():
     h = np.arange(5_000, dtype=np.int64) * 7_919
     kept = make_filter(h)

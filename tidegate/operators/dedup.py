@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 BITS, HASHES = 10, 4
 #: Rows of one partition are handled in so many slices, one after another.
 SLICES = 16
-#: In a batch, an identifier with so many copies is held back and delivered once, at most HELD of them.
-HOT_COPIES, HELD = 16, 4096
+#: An identifier with so many copies in a batch is held back from then on and delivered once by each task, at most
+#: HELD of them at a time. It bounds memory only: what is not held back is shuffled as it is.
+HOT_COPIES, HELD = 2, 65_536
 
 _H, _SLICE, _BUCKET, _N = "__tg_h", "__tg_slice", "__tg_bucket", "__tg_n"
 
