@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.operators.chunks import TARGET_ROWS, chunk_of, hot_bounds, with_bounds
+from tidegate.operators.chunks import TARGET_ROWS, bound, chunk_of, hot_bounds, with_bounds
+from tidegate.session import cut
 
 
 class IntervalMap:
@@ -138,33 +139,24 @@ def merge_intervals(df: DataFrame, key: str, start_us: str, end_us: str, target_
     """(key, kind, start_us, end_us): one row per period and per gap of each entity.
 
     ``start_us`` and ``end_us`` are bigint columns. Entities above ``target_rows`` rows are cut
-    into chunks of time with about equal numbers of rows.
+    into chunks of time with about so many rows.
     """
     kind_of_key = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("key"), F.col(start_us).cast("bigint").alias("a"), F.col(end_us).cast("bigint").alias("b")).filter("b > a")
     bounds = hot_bounds(rows, "key", "a", target_rows)
-    if bounds is None:
-        cut = rows.select("key", F.lit(False).alias("hot"), F.lit(0).alias("chunk"), "a", "b")
-    else:
-        marked = with_bounds(rows, "key", bounds)
-        calm = marked.filter("bounds is null").select("key", F.lit(False).alias("hot"), F.lit(0).alias("chunk"), "a", "b")
+    marked = with_bounds(rows, "key", bounds)
+    calm = marked.filter("bounds is null").select("key", F.lit(False).alias("hot"), F.lit(0).alias("chunk"), "a", "b")
+    result = _merged(calm, kind_of_key).drop("chunk")
+    if bounds is not None:
         joined = marked.filter("bounds is not null").select("key", "a", "b").mapInArrow(_premerge, f"key {kind_of_key}, a bigint, b bigint")
         piece = F.explode(F.sequence(chunk_of(F.col("a"), F.col("bounds")), chunk_of(F.col("b") - 1, F.col("bounds"))))
-        low = F.when(F.col("chunk") > 0, F.get("bounds", F.col("chunk") - 1))
+        low = F.when(F.col("chunk") > 0, bound(F.col("bounds"), F.col("chunk") - 1))
         hot = (
             with_bounds(joined, "key", bounds)
             .select("key", "a", "b", "bounds", piece.alias("chunk"))
-            .select("key", F.lit(True).alias("hot"), "chunk", F.greatest("a", low).alias("a"), F.least("b", F.get("bounds", F.col("chunk"))).alias("b"))
+            .select("key", F.lit(True).alias("hot"), "chunk", F.greatest("a", low).alias("a"), F.least("b", bound(F.col("bounds"), F.col("chunk"))).alias("b"))
         )
-        cut = calm.unionByName(hot)
-    merged = (
-        cut.repartition("key", "chunk")
-        .sortWithinPartitions("key", "hot", "chunk", "a")
-        .mapInArrow(_merge, f"key {kind_of_key}, chunk int, kind string, start_us bigint, end_us bigint")
-    )
-    if bounds is None:
-        result = merged.drop("chunk")
-    else:
+        merged = cut(_merged(hot, kind_of_key))
         edge = F.col("kind").isin("first", "last", "only")
         stitched = (
             merged.filter(edge)
@@ -172,5 +164,13 @@ def merge_intervals(df: DataFrame, key: str, start_us: str, end_us: str, target_
             .sortWithinPartitions("key", "chunk", "start_us")
             .mapInArrow(_stitch, f"key {kind_of_key}, kind string, start_us bigint, end_us bigint")
         )
-        result = merged.filter(~edge).drop("chunk").unionByName(stitched)
+        result = result.unionByName(merged.filter(~edge).drop("chunk")).unionByName(stitched)
     return result.select(F.col("key").alias(key), "kind", "start_us", "end_us")
+
+
+def _merged(rows: DataFrame, kind_of_key: str) -> DataFrame:
+    return (
+        rows.repartition("key", "chunk")
+        .sortWithinPartitions("key", "hot", "chunk", "a")
+        .mapInArrow(_merge, f"key {kind_of_key}, chunk int, kind string, start_us bigint, end_us bigint")
+    )
