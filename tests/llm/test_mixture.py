@@ -4,7 +4,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidegate.llm import mixture
 from tidegate.llm.mixture import TokenCounter, encoding, mix, split_quotas, token_counts
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -89,8 +88,26 @@ def test_empty(spark):
     assert [r["share"] for r in mix(a, spark.createDataFrame([("a", 1.0, 1)], TARGETS), TOKENIZER)[1].collect()] == [0.0]
 
 
-def test_too_many_sources(spark, monkeypatch):
-    monkeypatch.setattr(mixture, "MAX_SOURCES", 2)
-    targets = spark.createDataFrame([(s, 0.3, 1) for s in "abc"], TARGETS)
-    with pytest.raises(ValueError, match="more than 2"):
-        mix(docs(spark, {"a": 3}), targets, TOKENIZER)
+def test_every_shard_has_the_shares(spark):
+    """Each shard is a mixture of all sources, of equal size and with the target shares to within 2 points."""
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 3), ("small", 0.2, 9)], TARGETS)
+    mixture_, report = mix(docs(spark, {"big": 4_000, "mid": 900, "small": 150}), targets, TOKENIZER, shard_tokens=10_000)
+    tokens: dict = {}
+    for r in mixture_.collect():
+        tokens.setdefault(r["shard"], Counter())[r["source"]] += r["tokens"]
+    total = sum(r["tokens"] for r in report.collect())
+    assert set(tokens) == set(range(round(total / 10_000))) and len(tokens) > 5
+    for own in tokens.values():
+        assert abs(sum(own.values()) / (total / len(tokens)) - 1) < 0.03
+        for s, share in (("big", 0.5), ("mid", 0.3), ("small", 0.2)):
+            assert abs(own[s] / sum(own.values()) - share) < 0.02
+
+
+def test_a_use_lies_in_one_shard_and_in_order(spark):
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 4)], TARGETS)
+    mixture_, _ = mix(docs(spark, {"a": 400, "b": 90}), targets, TOKENIZER, shards=5)
+    per = Counter((r["doc_id"], r["repeat_no"]) for r in mixture_.collect())
+    assert set(per.values()) == {1}
+    for part in mixture_.rdd.glom().collect():
+        keys = [(r["shard"], r["sort_key"]) for r in part]
+        assert keys == sorted(keys)

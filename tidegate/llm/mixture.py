@@ -2,13 +2,16 @@
 
 1. Every text is tokenized whole; a chunk between single spaces has the same tokens wherever it
    stands, so each different chunk is tokenized once per task.
-2. A hash of the id permutes a source's records into blocks. A source's quota in tokens is drawn
-   as whole passes over its blocks and, for the rest, as permuted blocks; the block at the end of
-   the quota is divided into sub-blocks in the same way.
-3. The draws of all sources are divided among the output shards by a splitting tree: at every
-   node a multivariate hypergeometric draw says how many blocks of each source go left. Quotas
-   are exact at every node, and each shard draws blocks that no other shard has.
-4. Each shard orders its records by a hash: a local shuffle.
+2. A hash of the id permutes a source's records. In that order their tokens form a tape, which is
+   used again and again up to the source's quota; the part up to the quota is cut into blocks of
+   equal size in tokens. A record belongs to the block in which its middle lies.
+3. The blocks of all sources are divided among the output shards by a splitting tree: every node
+   gives each side its whole proportion of each source's blocks, and of those that do not divide
+   a multivariate hypergeometric draw says which go left. Quotas are exact at every node.
+4. Each shard takes its number of blocks from each permuted tape, blocks that no other shard has,
+   and orders their records by a hash: a local shuffle of all its sources.
+
+A shard's share of a source is off by a few of its ``BLOCKS`` and by a record at either end.
 
 Defined results:
 * a source without records, or whose records have no tokens, contributes nothing; the shares of the others are scaled up
@@ -16,31 +19,34 @@ Defined results:
 * the total is the largest that no source's cap forbids, unless one is given; a source that cannot
   fill its quota of a given total is used as often as its cap allows, and the report shows it;
 * records with a null source or one without target are not used; a null or empty text has 0 tokens;
+  a record without tokens is never used;
 * several target rows of one source count as one (shares summed, largest cap); a null or negative
   share or cap counts as 0; repeated records are records;
 * the same seed gives the same mixture; empty tables give an empty mixture.
 
-The driver sees one row per source and block: at most sources x BLOCKS, whatever the data.
+The driver sees one row per target source, and holds one number per shard and target source.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegate.session import cut, spread
+from tidegate.session import cut_and_count, spread
 
-#: Blocks a source has at most, sub-blocks of a block, records of a block at least (about).
-BLOCKS, SUB_BLOCKS, BLOCK_RECORDS = 2_048, 1_024, 64
-MAX_SOURCES = 10_000
+#: Blocks of all sources that make up a shard, and tokens of a shard where no number of shards is given.
+BLOCKS, SHARD_TOKENS = 1_024, 1 << 26
+#: With at most so many target sources their plan is broadcast.
+BROADCAST_SOURCES = 10_000
 #: Chunks whose token counts a task keeps, and how long a kept chunk may be.
 KEPT_CHUNKS, LONG_CHUNK = 500_000, 64
 #: Fixed value: the pattern that splits text before merges, as published with the vocabulary.
@@ -114,137 +120,119 @@ def token_counts(df: DataFrame, keys: list[str], text: str, tokenizer: str) -> D
     return spread(rows).mapInArrow(run, schema)
 
 
-@dataclass
-class Plan:
-    """What is drawn: whole blocks, sub-blocks, and the shares aimed at."""
+@dataclass(frozen=True)
+class Quota:
+    """A source's tape and what is taken of it."""
 
-    whole: list[tuple] = field(default_factory=list)  # source, block, repeat, shard
-    parts: list[tuple] = field(default_factory=list)  # source, block, sub, repeat, shard
-    targets: list[tuple] = field(default_factory=list)  # source, target share, scaled share, max repeats
+    source: str
+    target_share: float
+    scaled_share: float
+    max_repeats: int
+    tape: int = 0  #: tokens of all its records
+    quota: float = 0.0  #: tokens to be used
+    blocks: int = 0
 
 
 def split_quotas(quotas: list[int], shards: int, rng: np.random.Generator) -> np.ndarray:
-    """How many draws of each source go to each shard; columns sum to the quotas, rows differ by at most about one."""
+    """How many blocks of each source go to each shard; columns sum to the quotas, rows differ by at most about one."""
     out = np.zeros((shards, len(quotas)), np.int64)
 
-    def descend(lo: int, hi: int, left: np.ndarray) -> None:
+    def descend(lo: int, hi: int, have: np.ndarray) -> None:
         if hi - lo == 1:
-            out[lo] = left
+            out[lo] = have
             return
         mid = (lo + hi) // 2
-        total = int(left.sum())
-        take = total * (mid - lo) // (hi - lo)
-        mine = rng.multivariate_hypergeometric(left, take, method="marginals") if take else np.zeros_like(left)
+        left, right, all_ = mid - lo, hi - mid, hi - lo
+        sure = have * left // all_
+        open_ = have - sure - have * right // all_  # one block at most of each source
+        take = int(have.sum()) * left // all_ - int(sure.sum())
+        mine = sure + (rng.multivariate_hypergeometric(open_, take, method="marginals") if take else 0)
         descend(lo, mid, mine)
-        descend(mid, hi, left - mine)
+        descend(mid, hi, have - mine)
 
     descend(0, shards, np.asarray(quotas, np.int64))
     return out
 
 
-def _uniform(seed: int, bits_from: int) -> Column:
-    """31 bits of a hash of the id as a number in [0, 1)."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(bits_from), "record_id"), 33) / float(2**31)
-
-
-def _rest(weights: list[tuple], quota: float, rng: np.random.Generator) -> tuple[list, tuple | None, float]:
-    """Permuted (key, tokens) up to the quota, the one across its end, and what of the quota is left for that."""
-    chosen, left = [], quota
-    for i in rng.permutation(len(weights)):
-        key, tokens = weights[i]
-        if tokens > left:
-            return chosen, key, left
-        chosen.append(key)
-        left -= tokens
-    return chosen, None, left
-
-
-def plan_mixture(records: DataFrame, targets: DataFrame, shards: int, total_tokens: int | None, seed: int) -> Plan:
-    """The draws from records (source, block, sub, tokens)."""
-    rng = np.random.default_rng(seed)
-    plan = Plan()
+def plan_mixture(tapes: dict[str, int], targets: list[tuple], shards: int | None, total_tokens: int | None, shard_tokens: int) -> tuple[list[Quota], int]:
+    """Each target source's quota in tokens and blocks, and the number of shards. ``targets`` are (source, share, cap)."""
     wanted: dict[str, tuple[float, int]] = {}
-    rows = targets.filter("source is not null").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target rows")
-    for r in rows:
-        share, cap = wanted.get(r["source"], (0.0, 0))
-        wanted[r["source"]] = (share + max(0.0, r["target_share"] or 0.0), max(cap, r["max_repeats"] or 0))
-    blocks: dict[str, list[tuple]] = {}
-    for r in records.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).orderBy("source", "block").collect():
-        blocks.setdefault(r["source"], []).append((r["block"], r["tokens"]))
-    has = {s: sum(n for _, n in b) for s, b in blocks.items()}
-    used = [s for s, (share, cap) in sorted(wanted.items()) if share > 0 and cap > 0 and has.get(s)]
+    for source, share, cap in targets:
+        old_share, old_cap = wanted.get(source, (0.0, 0))
+        wanted[source] = (old_share + max(0.0, share or 0.0), max(old_cap, cap or 0))
+    used = [s for s, (share, cap) in sorted(wanted.items()) if share > 0 and cap > 0 and tapes.get(s)]
     scale = sum(wanted[s][0] for s in used)
-    plan.targets = [(s, share, share / scale if s in used else 0.0, cap) for s, (share, cap) in sorted(wanted.items())]
     if not used:
-        return plan
-    total = total_tokens if total_tokens is not None else min(wanted[s][1] * has[s] * scale / wanted[s][0] for s in used)
-    draws: dict[str, list[tuple]] = {}
-    open_blocks: dict[str, tuple] = {}
-    for s in used:
-        quota = min(total * wanted[s][0] / scale, wanted[s][1] * has[s])
-        passes = int(quota / has[s] + 1e-9)
-        mine = [(b, k, False) for k in range(1, passes + 1) for b, _ in blocks[s]]
-        rest, across, left = _rest(blocks[s], quota - passes * has[s], rng) if passes < wanted[s][1] else ([], None, 0.0)
-        mine += [(b, passes + 1, False) for b in rest]
-        if across is not None:
-            mine.append((across, passes + 1, True))
-            open_blocks[s] = (across, left)
-        draws[s] = [mine[i] for i in rng.permutation(len(mine))]
-    subs: dict[str, list[tuple]] = {}
-    if open_blocks:
-        which = F.lit(False)
-        for s, (b, _) in open_blocks.items():
-            which = which | ((F.col("source") == s) & (F.col("block") == b))
-        for r in records.filter(which).groupBy("source", "sub").agg(F.sum("tokens").alias("tokens")).orderBy("source", "sub").collect():
-            subs.setdefault(r["source"], []).append((r["sub"], r["tokens"]))
-    shares = split_quotas([len(draws[s]) for s in used], shards, rng)
-    for j, s in enumerate(used):
-        ends = np.cumsum(shares[:, j])
-        for i, (block, repeat, part) in enumerate(draws[s]):
-            shard = int(np.searchsorted(ends, i, "right"))
-            if not part:
-                plan.whole.append((s, block, repeat, shard))
-                continue
-            inside, across, left = _rest(subs[s], open_blocks[s][1], rng)
-            tokens = dict(subs[s])
-            if across is not None and left * 2 >= tokens[across]:
-                inside.append(across)  # nearer to the quota with it than without
-            plan.parts += [(s, block, sub, repeat, shard) for sub in inside]
-    return plan
-
-
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, shards: int = 32, total_tokens: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+        return [Quota(s, share, 0.0, cap) for s, (share, cap) in sorted(wanted.items())], 1
+    total = total_tokens if total_tokens is not None else min(wanted[s][1] * tapes[s] * scale / wanted[s][0] for s in used)
+    quota = {s: float(min(total * wanted[s][0] / scale, wanted[s][1] * tapes[s])) for s in used}
+    shards = shards or max(1, round(sum(quota.values()) / shard_tokens))
+    size = sum(quota.values()) / (shards * BLOCKS)
+    return [
+        Quota(s, share, share / scale, cap, tapes[s], quota[s], max(1, round(quota[s] / size))) if s in quota else Quota(s, share, 0.0, cap)
+        for s, (share, cap) in sorted(wanted.items())
+    ], shards
+
+
+def _tape(counted: DataFrame, records: int) -> DataFrame:
+    """``counted`` with ``middle``: where on its source's tape the middle of a record lies.
+
+    The tape is cut into ranges of the hash, about as many as the root of the number of records, so neither
+    the ranges of a source nor the records of a range are many for one task.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, records)) / 2))
+    ranged = counted.withColumn("range", F.shiftright("u", 63 - bits))
+    sums = ranged.groupBy("source", "range").agg(F.sum("tokens").alias("n"))
+    before = sums.select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("u", "record_id", "tokens").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("upto", inside).join(before, ["source", "range"]).withColumn("middle", F.col("before") + F.col("upto") - F.col("tokens") / 2).drop("range", "upto", "before")
+
+
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, shards: int | None = None, total_tokens: int | None = None, seed: int = 1, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
     """The mixture, and the report of shares.
 
-    ``documents`` has doc_id, source, text; ``targets`` source, target_share, max_repeats.
+    ``documents`` has doc_id, source, text; ``targets`` source, target_share, max_repeats, one row per source
+    as a rule. There are ``shards`` shards, or as many as have about ``shard_tokens`` tokens.
     Mixture: doc_id, source, tokens, repeat_no (from 1), shard, sort_key, one row per use of a record.
     Report: source, target_share, scaled_share, max_repeats, available_tokens, records, uses, tokens, share.
     """
     spark: SparkSession = documents.sparkSession
+    rng = np.random.default_rng(seed)
     counted = token_counts(documents.select("doc_id", "source", "text"), ["doc_id", "source"], "text", tokenizer).withColumnRenamed("doc_id", "record_id")
-    counted = cut(counted.withColumn("block_u", _uniform(seed, 0)).withColumn("sub", F.floor(_uniform(seed, 1) * SUB_BLOCKS).cast("int")))
-    sizes = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.join(F.broadcast(targets.filter("source is not null").select("source").distinct().limit(MAX_SOURCES)), "source")
-    sized = counted.join(F.broadcast(sizes), "source")  # at most MAX_SOURCES rows
-    blocks_of = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_RECORDS))
-    records = sized.select("record_id", "source", "tokens", "sub", F.floor(F.col("block_u") * blocks_of).cast("int").alias("block"))
-    plan = plan_mixture(records, targets, shards, total_tokens, seed)
-    whole = spark.createDataFrame(plan.whole, "source string, block int, repeat_no int, shard int")
-    parts = spark.createDataFrame(plan.parts, "source string, block int, sub int, repeat_no int, shard int")
-    # Both lists have at most sources x (BLOCKS x repeats + SUB_BLOCKS) rows.
-    drawn = records.join(F.broadcast(whole), ["source", "block"]).drop("sub").unionByName(records.join(F.broadcast(parts), ["source", "block", "sub"]).drop("sub"))
-    mixture = drawn.select(F.col("record_id").alias("doc_id"), "source", "tokens", "repeat_no", "shard", F.xxhash64(F.lit(seed), F.lit("order"), "record_id", "repeat_no").alias("sort_key"))
-    aims = spark.createDataFrame(plan.targets, "source string, target_share double, scaled_share double, max_repeats int")
-    used = mixture.groupBy("source").agg(F.count_distinct("doc_id").alias("records"), F.count(F.lit(1)).alias("uses"), F.sum("tokens").alias("tokens"))
+    counted, n = cut_and_count(counted.withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(0), "record_id"), 1)), "tokens > 0")
     there = counted.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
-    total = used.agg(F.sum("tokens").alias("all_tokens"))
+    aimed = targets.filter("source is not null").select("source", "target_share", "max_repeats")
+    tapes = {r["source"]: r["available_tokens"] for r in there.join(aimed.select("source").distinct(), "source", "left_semi").collect()}
+    quotas, shards = plan_mixture(tapes, [tuple(r) for r in aimed.collect()], shards, total_tokens, shard_tokens)
+    drawn = [q for q in quotas if q.blocks]
+    plan = spark.createDataFrame([(q.source, q.tape, q.quota, q.quota / q.blocks) for q in drawn], "source string, tape bigint, quota double, block_tokens double")
+    plan = F.broadcast(plan) if len(drawn) <= BROADCAST_SOURCES else plan
+    placed = _tape(counted.filter("tokens > 0").join(plan, "source"), n)
+    uses = placed.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.ceil(F.col("quota") / F.col("tape")).cast("int"))))
+    at = (F.col("repeat_no") - 1) * F.col("tape") + F.col("middle")
+    uses = uses.withColumn("at", at).filter("at < quota").select("record_id", "source", "tokens", "repeat_no", F.floor(F.col("at") / F.col("block_tokens")).alias("block"))
+    shares = split_quotas([q.blocks for q in drawn], shards, rng) if drawn else np.zeros((1, 0), np.int64)
+    sent = spark.sparkContext.broadcast({q.source: np.cumsum(shares[:, i]) for i, q in enumerate(drawn)})  # a number per shard and source
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources, blocks, out = batch.column(1).dictionary_encode(), batch.column(4).to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for code, source in enumerate(sources.dictionary.to_pylist()):
+                mine = np.flatnonzero(sources.indices.to_numpy() == code)
+                ends = sent.value[source]
+                out[mine] = np.searchsorted(ends, np.minimum(blocks[mine], ends[-1] - 1), "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], names=[*batch.schema.names[:4], "shard"])
+
+    kind = dict(counted.dtypes)["record_id"]
+    dealt = uses.mapInArrow(shard, f"record_id {kind}, source string, tokens bigint, repeat_no int, shard int")
+    mixture = dealt.select(F.col("record_id").alias("doc_id"), "source", "tokens", "repeat_no", "shard", F.xxhash64(F.lit(seed), F.lit("order"), "record_id", "repeat_no").alias("sort_key"))
+    aims = spark.createDataFrame([(q.source, q.target_share, q.scaled_share, q.max_repeats) for q in quotas], "source string, target_share double, scaled_share double, max_repeats int")
+    used = mixture.groupBy("source").agg(F.count_distinct("doc_id").alias("records"), F.count(F.lit(1)).alias("uses"), F.sum("tokens").alias("tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     report = (
-        there.join(F.broadcast(aims), there["source"].eqNullSafe(aims["source"]), "full")
+        there.join(aims, there["source"].eqNullSafe(aims["source"]), "full")
         .select(F.coalesce(there["source"], aims["source"]).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("scaled_share", F.lit(0.0)).alias("scaled_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), zero("available_tokens"))
-        .join(used, "source", "left").join(F.broadcast(total))
+        .join(used, "source", "left").withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # a row per source
         .select("source", "target_share", "scaled_share", "max_repeats", "available_tokens", zero("records"), zero("uses"), zero("tokens"), F.coalesce(F.round(F.col("tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("share"))
     )
     return mixture.repartition("shard").sortWithinPartitions("shard", "sort_key"), report

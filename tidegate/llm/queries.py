@@ -52,10 +52,12 @@ def p2_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The rank file of a public byte-level tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Tokens of an output shard.
+SHARD_TOKENS = 1 << 18
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER)
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), TOKENIZER, shard_tokens=SHARD_TOKENS)
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
