@@ -84,7 +84,7 @@ class _Rounds:
 
 
 def _smallest_on_cycles(t: DataFrame) -> DataFrame:
-    """(v, j, root) of rows (v, j, low) that all lead to cycles; ``low`` is the smallest id on the way to ``j``, ``j`` not included.
+    """(v, j, root, parent) of rows (v, j, low, parent) that all lead to cycles; ``low`` is the smallest id on the way to ``j``, ``j`` not included.
 
     In a round the smallest id met from ``j`` on becomes known. Windows of twice the length change it for some
     node unless each lies wholly on a cycle and covers it; and then all pointers end on cycles.
@@ -92,12 +92,12 @@ def _smallest_on_cycles(t: DataFrame) -> DataFrame:
     at, changed = t.withColumn("root", F.lit(None).cast("bigint")), 1
     while changed:
         moved = _hop(at, at, ["j", "low"]).select(
-            "v", F.col("up_j").alias("j"), F.least("low", "up_low").alias("low"), F.col("up_low").alias("root"), (~F.col("root").eqNullSafe(F.col("up_low"))).alias("changed")
+            "v", F.col("up_j").alias("j"), F.least("low", "up_low").alias("low"), F.col("up_low").alias("root"), "parent", (~F.col("root").eqNullSafe(F.col("up_low"))).alias("changed")
         )
         before = at
         at, changed = cut_and_count(moved, "changed")
         drop(before)
-    return at.select("v", "j", "root")
+    return at.select("v", "j", "root", "parent")
 
 
 # Small trees, in numpy.
@@ -302,28 +302,28 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True, separator:
         links.filter("parent is not null and child is not null").select("parent", F.col("child").alias("v"))
         .join(named.select(F.col("id").alias("parent")), "parent", "left_semi").groupBy("v").agg(F.min("parent").alias("j"))
     )
-    forest = cut(ids.join(sound, "v", "left"))
-    inner = forest.filter(POINTS).select(F.col("j").alias("v")).distinct().withColumn("inner", F.lit(True))
-    forest = cut(forest.join(inner, "v", "left"))
+    sound = cut(sound)
+    inner = sound.select(F.col("j").alias("v")).distinct().withColumn("inner", F.lit(True))
+    forest = cut(ids.join(sound, "v", "left").join(inner, "v", "left"))
+    drop(sound)
 
     # The root of every node that has children, or the smallest id of the cycle it leads to.
-    rounds = _Rounds(forest.filter("inner").select("v", "j", F.coalesce("j", "v").alias("top"), F.col("v").alias("low")))
+    rounds = _Rounds(forest.filter("inner").select("v", "j", F.coalesce("j", "v").alias("top"), F.col("v").alias("low"), F.col("j").alias("parent")))
     while rounds.pointing:
-        if not rounds.step(["j", "top", "low"], [F.col("up_j").alias("j"), F.col("up_top").alias("top"), F.least("low", "up_low").alias("low")]):
+        if not rounds.step(["j", "top", "low"], [F.col("up_j").alias("j"), F.col("up_top").alias("top"), F.least("low", "up_low").alias("low"), F.col("parent")]):
             break  # no node ended in this round, so none of the others ever will
-    ended = rounds.everyone().filter(ENDS).select("v", F.col("top").alias("root"), F.lit(False).alias("looped"))
+    ended = rounds.everyone().filter(ENDS).select("v", F.col("top").alias("root"), F.lit(False).alias("looped"), "parent")
     on_cycle = None
     if rounds.pointing:
-        looping = _smallest_on_cycles(rounds.now.filter(POINTS).select("v", "j", "low"))
-        ended = ended.unionByName(looping.select("v", "root", F.lit(True).alias("looped")))
+        looping = _smallest_on_cycles(rounds.now.filter(POINTS).select("v", "j", "low", "parent"))
+        ended = ended.unionByName(looping.select("v", "root", F.lit(True).alias("looped"), "parent"))
         on_cycle = looping.select(F.col("j").alias("v")).distinct().withColumn("on_cycle", F.lit(True))
     found = cut(ended)
 
     # Every node with its root: its own, or its parent's if it has no children. Cycles are cut.
-    columns = ["v", "j", *label]
     single = forest.filter(f"inner is null and {ENDS}")
-    of_parent = forest.filter(f"inner is null and {POINTS}").select(*columns).join(found.withColumnRenamed("v", "j"), "j")
-    rooted = forest.filter("inner").select(*columns).join(found, "v").unionByName(of_parent).withColumn("parent", F.col("j"))
+    of_parent = forest.filter(f"inner is null and {POINTS}").select("v", F.col("j").alias("parent"), *label).join(found.select(F.col("v").alias("parent"), "root", "looped"), "parent")
+    rooted = (found.join(forest.select("v", "label"), "v") if paths else found).unionByName(of_parent).withColumn("j", F.col("parent"))
     if on_cycle is not None:
         rooted = rooted.join(on_cycle, "v", "left").withColumn("j", F.when(F.col("on_cycle").isNull(), F.col("j"))).drop("on_cycle")
     rooted = cut(rooted.select("root", "looped", "v", "j", "parent", *label))
