@@ -77,9 +77,10 @@ def test_records_in_the_last_schema(spark):
     )
     got = {r["record_id"]: r for r in unified_records(records, nodes(spark, *VERSIONS), runs(spark, 4)).collect()}
     assert got[1]["fields"] == {"b2": "x", "c": "2025-01-02", "d": None} and got[1]["extra"] == {"a": "7"}
-    assert got[3]["fields"]["b2"] == "4" and got[3]["misfits"] == "d"
+    assert got[3]["fields"]["b2"] == "4" and got[3]["misfits"] == "d" and got[3]["extra"] == {"a": "1.5", "d": "no"}
+    assert [got[i]["status"] for i in (1, 7)] == ["whole", "no_run"] and got[7]["fields"]["d"] == "1"
     assert [got[i]["status"] for i in (4, 5)] == ["broken", "broken"]
-    assert got[6]["fields"] == {"b2": "y", "c": None, "d": "9"} and got[6]["misfits"] == "c" and got[6]["extra"] == {"z": "[1]"}
+    assert got[6]["fields"] == {"b2": "y", "c": None, "d": "9"} and got[6]["misfits"] == "c" and got[6]["extra"] == {"c": "2025-02-30", "z": "[1]"}
     assert got[8]["extra"] == {"q": "1"}
     last = schema_versions(nodes(spark, *VERSIONS), runs(spark, 4)).orderBy(F.desc("started_us")).first()["fields"]
     typed = dataset_table(unified_records(records, nodes(spark, *VERSIONS), runs(spark, 4)), [(f["name"], f["type"]) for f in last], "ds")
@@ -94,8 +95,21 @@ def test_a_removed_field_does_not_meet_a_later_one_of_its_name(spark):
     assert [(got[i]["fields"], got[i]["extra"], got[i]["misfits"]) for i in (1, 2, 3)] == [({"b": "1"}, {"b": "2"}, ""), ({"b": "1"}, {"b": "2"}, "b"), ({"b": "3"}, {}, "")]
 
 
-def test_routes_end_at_a_removal_and_begin_again_where_the_name_is_added():
-    step = lambda at, change, before, after: {"started_us": at, "execution_id": f"e{at}", "change": change, "field_before": before, "field_after": after}
-    chain = Migration([step(1, "renamed", "a", "b"), step(2, "removed", "b", ""), step(3, "added", "", "b")], [])
-    assert chain.route((0, ""), ["a"]) == {"a": "b"}
-    assert Migration(chain.steps[:2], []).route((0, ""), ["a"]) == {"a": None}
+def test_routes_end_at_a_removal_though_the_name_comes_again(spark):
+    chain = Migration()
+    chain.before([("added", "", "b", None)])
+    assert chain.way("b") == ("b", [], None) and chain.defaults == {"b": (None, [])}
+    chain.before([("removed", "b", "", None)])
+    chain.before([("renamed", "a", "b", "long")])
+    assert chain.way("a") == chain.way("b") == (None, [], "b")
+    versions = [("e0", [("b", "long"), ("k", "date")]), ("e1", [("k", "date")]), ("e2", [("k", "date"), ("b", "long")])]
+    records = spark.createDataFrame([(i, f"e{i}", "ds", '{"b": %d}' % i) for i in range(3)], "record_id bigint, execution_id string, dataset_name string, payload string")
+    got = {r["record_id"]: (r["fields"]["b"], r["extra"]) for r in unified_records(records, nodes(spark, *versions), runs(spark, 3)).collect()}
+    assert got == {0: (None, {"b": "0"}), 1: ("1", {}), 2: ("2", {})}
+
+
+def test_values_pass_every_cast_on_their_way_and_new_fields_get_defaults(spark):
+    versions = [("e0", [("a", "string")]), ("e1", [("a", "double")]), ("e2", [("a", "long"), ("n", "long")]), ("e3", [("a", "string"), ("n", "double")])]
+    records = spark.createDataFrame([(0, "e0", "ds", '{"a": "7"}'), (1, "e0", "ds", '{"a": "x"}'), (2, "e1", "ds", '{"a": 2.0}'), (3, "e1", "ds", '{"a": 2.5}'), (4, "e2", "ds", '{"a": "y"}'), (5, "e3", "ds", '{"a": "z"}')], "record_id bigint, execution_id string, dataset_name string, payload string")
+    got = {r["record_id"]: (r["fields"]["a"], r["fields"]["n"], r["extra"], r["misfits"]) for r in unified_records(records, nodes(spark, *versions), runs(spark, 4), {"ds": {"n": "5"}}).collect()}
+    assert got == {0: ("7", "5.0", {}, ""), 1: (None, "5.0", {"a": "x"}, "a"), 2: ("2", "5.0", {}, ""), 3: (None, "5.0", {"a": "2.5"}, "a"), 4: ("y", None, {}, ""), 5: ("z", None, {}, "")}

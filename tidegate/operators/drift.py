@@ -5,7 +5,8 @@ the ordered names and types. The schemas of a dataset pass, in order of the exec
 through a small machine that keeps the schema before and the last known types. As long as the
 fingerprint stays nothing happens; otherwise the explicit steps (rename, remove, add, change of
 type) that lead to the new version are recorded. Records are routed through the chain of all
-later steps: renamed, given the default null for fields they lack, and cast to the last type.
+later steps in their order: renamed, ended where the field was removed, given a default for fields
+that were added later, and cast to each new type and at last to the last one.
 
 Defined results:
 * names and types are compared trimmed and in lower case; a null type means the last known type
@@ -15,14 +16,18 @@ Defined results:
 * rows with a null dataset, execution, field or id are ignored, as are executions without a start,
   since they have no place in the order; executions that start together are ordered by their id;
 * fields of a record that no schema knows are kept in ``extra``, as are values of a field that was
-  removed later, unless a field of that name was added again; where several keys of a record lead
+  removed later, also if another field got that name; where several keys of a record lead
   to one field, a key that was renamed to it goes first, the others are kept in ``extra`` and the
-  field is named in ``misfits``; a payload that is no JSON object
-  gives ``status`` = ``broken``; a value that does not fit the type is null and named in ``misfits``;
+  field is named in ``misfits``; a value that does not fit a type on its way is null, named in ``misfits`` and
+  kept in ``extra`` as it was;
+* ``status`` of a record is ``broken`` if its payload is no JSON object, ``no_run`` if its run has no start (it has no
+  place in the order and is read by the last schema), else ``whole``;
 * an empty table gives an empty result; extra columns are ignored.
 
 A dataset with very many executions is cut into chunks by start. A first pass then finds how
-each chunk ends, one row each, so that every chunk can begin from the state before it.
+each chunk ends, one row each, so that every chunk can begin from the state before it. Routes are
+made by one more walk over the changes, backwards, whose state is the names that were ever changed;
+they are as many as there are runs with records, and go to each group of records once.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.operators.chunks import TARGET_ROWS, chunk_of, hot_bounds, with_bounds
+from tidegate.session import cut
 
 CHANGES = "dataset_name string, execution_id string, started_us bigint, change string, field_before string, field_after string, place bigint, type_before string, type_after string, fingerprint_before bigint, fingerprint bigint"
 
@@ -153,9 +159,12 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(rows, _STATES)
 
 
-def schema_changes(nodes: DataFrame, executions: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Every change of every dataset, compared with the execution before it that recorded the dataset."""
-    versions = schema_versions(nodes, executions)
+def schema_changes(nodes: DataFrame, executions: DataFrame, target_rows: int = TARGET_ROWS, versions: DataFrame | None = None) -> DataFrame:
+    """Every change of every dataset, compared with the execution before it that recorded the dataset.
+
+    ``versions`` are those of ``schema_versions``, if they are there already.
+    """
+    versions = schema_versions(nodes, executions) if versions is None else versions
     recorded = nodes.select(_clean(F.col("dataset_name")).alias("dataset_name"), F.lit(0).cast("bigint").alias("started_us"))
     if recorded.groupBy("dataset_name").count().filter(F.col("count") > target_rows).isEmpty():
         bounds = None
@@ -206,56 +215,121 @@ def _value(kind: str | None, v) -> tuple[str | None, bool]:
 
 
 class Migration:
-    """The chain of steps of one dataset, and where a record of a given time enters it."""
-
-    def __init__(self, steps: list[dict], last: list[dict]):
-        self.steps = sorted(steps, key=lambda s: (s["started_us"], s["execution_id"]))
-        self.last = {f["name"]: f["type"] for f in last}
-        self.routes: dict[tuple, tuple[dict[str, str | None], dict[str, str]]] = {}
-
-    def route(self, at: tuple, names: list[str]) -> dict[str, str | None]:
-        """For each field name at the time ``at`` its name in the last schema; None if it was removed."""
-        return self.traced(at, names)[0]
-
-    def traced(self, at: tuple, names: list[str]) -> tuple[dict[str, str | None], dict[str, str]]:
-        """The route, and the name under which a field was removed last."""
-        key = (at, tuple(names))
-        if key not in self.routes:
-            to: dict[str, str | None] = {n: n for n in names}
-            gone: dict[str, str] = {}
-            i = 0
-            later = [s for s in self.steps if (s["started_us"], s["execution_id"]) > at]
-            while i < len(later):  # the steps of one execution apply at once
-                j = i
-                while j < len(later) and later[j]["execution_id"] == later[i]["execution_id"]:
-                    j += 1
-                renames = {s["field_before"]: s["field_after"] for s in later[i:j] if s["change"] == "renamed"}
-                removed = {s["field_before"] for s in later[i:j] if s["change"] == "removed"}
-                added = {s["field_after"] for s in later[i:j] if s["change"] == "added"}
-                for n, now in to.items():
-                    if now is None:
-                        to[n] = gone[n] if gone[n] in added else None
-                    elif now in removed:
-                        gone[n], to[n] = now, None
-                    else:
-                        to[n] = renames.get(now, now)
-                i = j
-            if len(self.routes) > 10_000:
-                self.routes.clear()
-            self.routes[key] = to, gone
-        return self.routes[key]
+    """The way of each field from a version to the last schema, built from the last step backwards.
+
+    ``ways`` holds the names that do not simply stay: name -> (last name or None if it was removed, types it is cast to
+    on its way, the name under which it was removed). ``defaults`` are the fields that came later: last name -> (value, casts).
+    """
+
+    def __init__(self, defaults: dict[str, str] | None = None):
+        self.given = defaults or {}
+        self.ways: dict[str, tuple[str | None, list[str], str | None]] = {}
+        self.defaults: dict[str, tuple[str | None, list[str]]] = {}
+
+    def way(self, name: str) -> tuple[str | None, list[str], str | None]:
+        return self.ways.get(name, (name, [], None))
+
+    def before(self, steps: list[tuple[str, str, str, str | None]]) -> None:
+        """Go back over the (change, before, after, type after) of one execution, which apply at once."""
+        ways = dict(self.ways)
+        for change, old, new, kind in steps:
+            if change == "renamed":
+                ways[old] = self.way(new)
+            elif change == "removed":
+                ways[old] = (None, [], old)
+            elif change == "type_changed":
+                to, casts, gone = self.way(old)
+                ways[old] = (to, [kind, *casts], gone) if to is not None else (to, casts, gone)
+            elif change == "added" and (to := self.way(new))[0] is not None:
+                self.defaults[to[0]] = (self.given.get(new), to[1])
+        self.ways = {n: w for n, w in ways.items() if w != (n, [], None)}
+
+    def text(self, last: list) -> str:
+        return json.dumps({"ways": self.ways, "defaults": self.defaults, "last": last})
+
+
+_ROUTES = pa.schema([("dataset_name", pa.string()), ("at", pa.string()), ("route", pa.string())])
+LAST = 2**63 - 1
+
+
+def _routes(defaults: dict[str, dict[str, str]]):
+    """Rows (dataset, started, execution, kind, change, before, after, type) of each dataset, the latest first -> (dataset, execution, route).
+
+    A ``last`` row holds the last schema; an ``entry`` asks for the route from there on and comes before the changes of its execution.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, chain, last, waiting, at = object(), Migration(), [], [], None
+        for batch in batches:
+            rows = []
+            for ds, started, ex, kind, change, old, new, type_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if ds != current:
+                    current, chain, last, waiting = ds, Migration(defaults.get(ds)), [], []
+                elif waiting and (started, ex) != at:
+                    chain.before(waiting)
+                    waiting = []
+                at = started, ex
+                if kind == "last":
+                    last = json.loads(old)
+                elif kind == "entry":
+                    rows.append((ds, ex, chain.text(last)))
+                else:
+                    waiting.append((change, old, new, type_))
+            if rows:
+                yield _batch(rows, _ROUTES)
+
+    return run
 
 
 _UNIFIED = pa.schema([("dataset_name", pa.string()), ("record_id", pa.int64()), ("execution_id", pa.string()), ("status", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("extra", pa.map_(pa.string(), pa.string())), ("misfits", pa.string())])
 
 
+def _cast(v, casts: list[str | None]) -> tuple[str | None, bool]:
+    """The value after each cast in turn, and whether it fitted all of them."""
+    for kind in casts:
+        v, fits = _value(kind, v)
+        if not fits:
+            return None, False
+    return v, True
+
+
+def unify(record: dict, route: dict) -> tuple[dict[str, str | None], dict[str, str | None], list[str]]:
+    """(fields, extra, misfits) of one record under its route."""
+    ways, types = route["ways"], dict(route["last"])
+    fields: dict[str, str | None] = dict.fromkeys(types)
+    extra: dict[str, str | None] = {}
+    taken: set[str] = set()
+    misfits: set[str] = set()
+    led = [(k, v, *ways.get(k, (k, [], None))) for k, v in record.items()]
+    for k, v, name, casts, gone in sorted(led, key=lambda x: (x[2] == x[0], x[0])):  # renamed keys first
+        fits = True
+        if name in types and name not in taken:
+            taken.add(name)
+            fields[name], fits = _cast(v, [*casts, types[name]])
+            if fits:
+                continue
+        if name in taken:
+            misfits.add(name)
+        kept = gone if name is None else k
+        kept = k if kept in record or kept in extra else kept
+        extra[kept] = v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
+    for name, (value, casts) in route["defaults"].items():
+        if name in types and name not in taken:
+            fields[name], fits = _cast(value, [*casts, types[name]])
+            if not fits:
+                misfits.add(name)
+    return fields, extra, sorted(misfits)
+
+
 def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    current, chain = None, None
+    """Rows (dataset, at, salt, record id, execution, payload, route), each group's route first -> records."""
+    route: dict = {}
     for batch in batches:
         rows = []
-        for ds, started, ex, rid, payload, steps, last in zip(*(c.to_pylist() for c in batch.columns)):
-            if chain is None or ds != current:
-                current, chain = ds, Migration(steps or [], last or [])
+        for ds, at, _, rid, ex, payload, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if text is not None:
+                route = json.loads(text)
+                continue
             try:
                 record = json.loads(payload) if payload is not None else None
             except ValueError:
@@ -263,37 +337,22 @@ def _unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not isinstance(record, dict):
                 rows.append((ds, rid, ex, "broken", [], [], ""))
                 continue
-            record = {k.strip().lower(): v for k, v in record.items()}
-            to, gone = chain.traced((started if started is not None else 2**62, ex or ""), sorted(record))
-            fields: dict[str, str | None] = dict.fromkeys(chain.last)
-            extra, misfits = {}, []
-            taken: set[str] = set()
-            for k, v in sorted(record.items(), key=lambda kv: to[kv[0]] == kv[0]):  # renamed keys first
-                name = to[k]
-                if name in chain.last and name not in taken:
-                    taken.add(name)
-                    fields[name], fits = _value(chain.last[name], v)
-                    if not fits:
-                        misfits.append(name)
-                else:
-                    kept = gone[k] if name is None else k
-                    kept = k if kept in record or kept in extra else kept
-                    extra[kept] = v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
-                    if name in taken:
-                        misfits.append(name)
-            rows.append((ds, rid, ex, "whole", list(fields.items()), list(extra.items()), ",".join(sorted(set(misfits)))))
+            fields, extra, misfits = unify({k.strip().lower(): v for k, v in record.items()}, route)
+            rows.append((ds, rid, ex, "whole" if at else "no_run", list(fields.items()), list(extra.items()), ",".join(misfits)))
         yield _batch(rows, _UNIFIED) if rows else pa.RecordBatch.from_pylist([], _UNIFIED)
 
 
-def unified_records(records: DataFrame, nodes: DataFrame, executions: DataFrame) -> DataFrame:
+#: Groups that the records of one run and dataset are dealt out to.
+SALTS = 4
+
+
+def unified_records(records: DataFrame, nodes: DataFrame, executions: DataFrame, defaults: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """(dataset_name, record_id, execution_id, status, fields, extra, misfits): records in the last schema of their dataset.
 
-    A dataset's log of changes and its last schema go to its records; both are metadata, as long
-    as the number of versions. Records are spread over all tasks, whatever their dataset.
+    ``defaults`` has values, as text, by dataset and field for records that are older than the field; else these are null.
     """
-    versions = schema_versions(nodes, executions)
-    changes = schema_changes(nodes, executions)
-    log = changes.groupBy("dataset_name").agg(F.collect_list(F.struct("started_us", "execution_id", "change", "field_before", "field_after")).alias("steps"))
+    versions = cut(schema_versions(nodes, executions))
+    changes = schema_changes(nodes, executions, versions=versions)
     # The last schema, its types filled from the last known ones.
     last = versions.groupBy("dataset_name").agg(F.max(F.struct("started_us", "execution_id", "fields")).alias("v")).select("dataset_name", F.col("v.fields").alias("last"))
     known = (
@@ -301,12 +360,24 @@ def unified_records(records: DataFrame, nodes: DataFrame, executions: DataFrame)
         .filter("type is not null").groupBy("dataset_name", "name").agg(F.max(F.struct("started_us", "execution_id", "type")).alias("k"))
         .groupBy("dataset_name").agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("k.type")))).alias("known"))
     )
-    fill = lambda f: F.struct(f["name"].alias("name"), F.coalesce(f["type"], F.try_element_at("known", f["name"])).alias("type"))
-    target = last.join(known, "dataset_name", "left").join(log, "dataset_name", "left").select("dataset_name", "steps", F.transform("last", fill).alias("last"))
+    fill = lambda f: F.array(f["name"], F.coalesce(f["type"], F.try_element_at("known", f["name"])))
+    target = last.join(known, "dataset_name", "left").select("dataset_name", F.to_json(F.transform("last", fill)).alias("last"))
     starts = executions.filter("started_at is not null").groupBy(F.col("id").alias("execution_id")).agg(F.min(F.unix_micros(F.col("started_at").cast("timestamp"))).alias("started_us"))
-    rows = records.select(_clean(F.col("dataset_name")).alias("dataset_name"), "execution_id", "record_id", "payload")
-    joined = rows.join(starts, "execution_id", "left").join(target, "dataset_name", "left")
-    return joined.sortWithinPartitions("dataset_name").select("dataset_name", "started_us", "execution_id", "record_id", "payload", "steps", "last").mapInArrow(
+    rows = records.select(_clean(F.col("dataset_name")).alias("dataset_name"), "execution_id", "record_id", "payload").join(starts, "execution_id", "left")
+    rows = cut(rows.select("dataset_name", F.when(F.col("started_us").isNotNull(), F.col("execution_id")).otherwise("").alias("at"), F.coalesce("started_us", F.lit(LAST - 1)).alias("started_us"), "execution_id", "record_id", "payload"))
+
+    no = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    entries = rows.select("dataset_name", "started_us", "at").distinct().select("dataset_name", "started_us", "at", F.lit("entry").alias("kind"), *no("change", "field_before", "field_after", "type_after"))
+    lasts = target.select("dataset_name", F.lit(LAST).alias("started_us"), F.lit("").alias("at"), F.lit("last").alias("kind"), *no("change"), F.col("last").alias("field_before"), *no("field_after", "type_after"))
+    steps = changes.select("dataset_name", "started_us", F.col("execution_id").alias("at"), F.lit("step").alias("kind"), "change", "field_before", "field_after", "type_after")
+    routes = (
+        lasts.unionByName(entries).unionByName(steps).repartition("dataset_name")
+        .sortWithinPartitions("dataset_name", F.desc("started_us"), F.desc("at"), "kind").mapInArrow(_routes(defaults or {}), "dataset_name string, at string, route string")
+    )
+    text = F.lit(None).cast("string")
+    sent = routes.select("dataset_name", "at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast("bigint").alias("record_id"), text.alias("execution_id"), text.alias("payload"), "route")
+    asked = rows.select("dataset_name", "at", F.pmod(F.xxhash64("record_id", "payload"), F.lit(SALTS)).cast("int").alias("salt"), "record_id", "execution_id", "payload", text.alias("route"))
+    return sent.unionByName(asked).repartition("dataset_name", "at", "salt").sortWithinPartitions("dataset_name", "at", "salt", F.col("route").isNull()).mapInArrow(
         _unify, "dataset_name string, record_id bigint, execution_id string, status string, fields map<string,string>, extra map<string,string>, misfits string"
     )
 
@@ -317,4 +388,4 @@ SPARK_TYPES = {"integer": "int", "long": "bigint", "double": "double", "decimal"
 def dataset_table(unified: DataFrame, fields: list[tuple[str, str | None]], dataset: str) -> DataFrame:
     """One dataset as a typed table with the columns of its last schema, as ``schema_versions`` gives them."""
     columns = [F.try_element_at("fields", F.lit(n)).try_cast(SPARK_TYPES.get(t or "", "string")).alias(n) for n, t in fields]
-    return unified.filter((F.col("dataset_name") == dataset) & (F.col("status") == "whole")).select("record_id", "execution_id", *columns)
+    return unified.filter((F.col("dataset_name") == dataset) & F.col("status").isin("whole", "no_run")).select("record_id", "execution_id", *columns)
