@@ -120,6 +120,7 @@ def test_steps_of_a_level_run_together_and_time_out(spark, tmp_path):
     steps = "".join(f"\n    - {{id: s{i}, type: TRANSFORM, depends_on: [read], transform: slow, output: o{i}}}" for i in range(4))
     e = engine(spark, tmp_path)
     e.register(f'pipeline:\n  id: wide\n  steps:\n    - {{id: read, type: SOURCE, connector: csv, config: {{path: "{tmp_path}/in.csv"}}}}{steps}')
+    e.execute("wide")  # code is loaded and compiled in the first run
     began = time.perf_counter()
     assert e.execute("wide").state == "COMPLETED"
     assert time.perf_counter() - began < 2.6
@@ -183,7 +184,7 @@ def test_validation(spark, tmp_path):
     assert good.valid and [len(x) for x in good.levels] == [1, 1, 2] and all(h.ok for h in good.health)
     bad = e.validate(CSV.format(d=tmp_path).replace("transform: filter", "transform: melt").replace("connector: parquet", "connector: pigeon"))
     assert not bad.valid and "melt" in bad.errors[0] and "pigeon" in bad.errors[1]
-    assert not e.validate("pipeline:\n  id: x\n  colour: red").valid and "csv" in e.health()
+    assert not e.validate("pipeline:\n  id: x\n  colour: red").valid and e.health()["csv"] == "UP" and e.health()["jdbc"] == "UNUSED"
 
 
 def test_drift_between_executions(spark, tmp_path):
@@ -193,7 +194,7 @@ def test_drift_between_executions(spark, tmp_path):
     second = e.execute("copy", {"least": 0})
     assert e._runs[second.execution_id].drift == {"raw": ["new field: discount (STRING)", "removed field: customer_id"]}
     strict = engine(spark, tmp_path, config=EngineConfig(drift_mode="STRICT", max_retries=0))
-    strict.executor.known_schemas["raw"] = [("order_id", "LONG")]
+    strict.executor.schemas.put("raw", [("order_id", "LONG")])
     assert "type changed" in strict.execute("copy", {"least": 0}).error
 
 
@@ -241,3 +242,78 @@ def test_a_cluster_without_shared_folder_is_an_error():
     context = SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://somewhere:7077")
     with pytest.raises(TidegateError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_another_engine_knows_stored_runs_and_schemas(spark, tmp_path):
+    first = engine(spark, tmp_path)
+    info = first.execute("copy", {"least": 100})
+    second = engine(spark, tmp_path)
+    assert second.execution(info.execution_id) == info and second.executions("copy") == [info] and second.executions("other") == []
+    (tmp_path / "in.csv").write_text("order_id,total\n1,200\n")
+    third = second.execute("copy", {"least": 0})
+    assert second._runs[third.execution_id].drift == {"raw": ["removed field: customer_id"]}
+    assert [i.execution_id for i in second.executions("copy")] == [info.execution_id, third.execution_id]
+
+
+def test_health_says_which_step_cannot_work(spark, tmp_path):
+    e = engine(spark, tmp_path)
+    e.register("pipeline:\n  id: db\n  steps:\n    - {id: take, type: SOURCE, connector: jdbc, config: {url: 'jdbc:nothing:x', table: T}, output: t}")
+    found = e.health()
+    assert found["csv"] == found["parquet"] == "UP" and found["jdbc"].startswith("DOWN: take:") and found["kafka"] == "UNUSED"
+
+
+def test_a_stored_output_that_is_not_whole_is_made_again(spark, tmp_path):
+    config = EngineConfig(checkpoint="all", max_retries=0, storage=str(tmp_path / "outputs"))
+    e, _ = flaky_engine(spark, tmp_path, 1, config)
+    info = e.execute("copy", {"least": 100})
+    at = f"{tmp_path}/outputs/{info.execution_id}/keep"
+    spark.range(1).selectExpr("'9' AS order_id", "'9' AS customer_id", "'900' AS total").write.mode("overwrite").parquet(at)
+    after = e.resume("copy", info.execution_id)
+    assert {s["step_id"]: s["state"] for s in after.steps} == {"read": "SKIPPED", "keep": "COMPLETED", "write": "SKIPPED", "write2": "COMPLETED"}
+
+
+def test_queries_of_executions_that_run_together_see_their_own_datasets(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark.range(1).createOrReplaceTempView("numbers")
+
+    def run(i):
+        frames = {"numbers": spark.range(i, i + 3)}
+        return [r["x"] for r in transforms.apply("sql", transforms.Inputs(spark, frames, ["numbers"]), transforms.Config({"query": "SELECT id + 1 AS x FROM numbers ORDER BY x"})).df.collect()]
+
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(run, range(20))) == [[i + 1, i + 2, i + 3] for i in range(20)]
+    assert spark.table("numbers").count() == 1
+    spark.catalog.dropTempView("numbers")
+
+
+def test_origins_of_queries(spark):
+    from tidegate.operators.origins import origins_of
+
+    a = spark.createDataFrame([(1, 2, "x")], "id int, n int, s string")
+    b = spark.createDataFrame([(1, 5)], "id int, m int")
+    run = lambda q: transforms.apply("sql", transforms.Inputs(spark, {"a": a, "b": b}, ["a", "b"]), transforms.Config({"query": q}))
+    got = run("WITH t AS (SELECT id, n * 2 AS twice FROM a) SELECT t.twice + m AS both, upper(s) AS `Two words`, 1 AS one FROM t JOIN b USING (id) JOIN a ON a.id = t.id").sources
+    assert got == {"both": [("a", "n"), ("b", "m")], "Two words": [("a", "s")], "one": []}
+    assert run("SELECT n AS x FROM a UNION ALL SELECT m FROM b").sources == {"x": [("a", "n"), ("b", "m")]}
+    assert run("SELECT s, sum(n) AS total FROM a GROUP BY s").sources == {"s": [("a", "s")], "total": [("a", "n")]}
+    assert origins_of(a, {}) == {"id": [], "n": [], "s": []}
+    assert transforms._names(a, "`n` + length(s) + CASE WHEN 'id' = s THEN 1 END") == ["n", "s"]
+
+
+def test_functions_and_plugins(spark, tmp_path, monkeypatch):
+    (tmp_path / "plug_in_of_mine.py").write_text("from tidegate.operators import transforms\ntransforms.register('plus_one', lambda inputs, config: inputs.one(config)[1].selectExpr('id + 1 AS id'))\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    e = Engine(spark, config=EngineConfig(plugins=("plug_in_of_mine",)))
+    frames = transforms.Inputs(spark, {"r": spark.range(3)}, ["r"])
+    assert [r["id"] for r in transforms.apply("plus_one", frames, transforms.Config()).df.collect()] == [1, 2, 3]
+    e.register_function("times_three", lambda x: x * 3, "bigint")
+    assert [r["y"] for r in transforms.apply("derive", frames, transforms.Config({"columns": {"y": "times_three(id)"}})).df.collect()] == [0, 3, 6]
+
+    class Upto:
+        def eval(self, n: int):
+            for i in range(n):
+                yield (i,)
+
+    e.register_function("upto", Upto, "i int")
+    assert transforms.apply("sql", frames, transforms.Config({"query": "SELECT * FROM upto(4)"})).df.count() == 4

@@ -12,31 +12,31 @@ from tidegate.plans.states import PipelineState, StateMachine, StepState
 
 DEMO = """
 pipeline:
-  id: orders-daily
-  name: "Orders of a day"
+  id: meter-readings
+  name: "Readings of all meters"
   steps:
-    - {id: extract-orders, type: SOURCE, connector: csv, config: {path: o.csv}, output: orders_raw}
-    - {id: extract-customers, type: SOURCE, connector: csv, config: {path: c.csv}, output: customers_raw}
-    - id: join
+    - {id: readings-in, type: SOURCE, connector: csv, config: {path: r.csv}, output: readings}
+    - {id: meters-in, type: SOURCE, connector: csv, config: {path: m.csv}, output: meters}
+    - id: place
       type: TRANSFORM
-      depends_on: [extract-orders, extract-customers]
+      depends_on: [readings-in, meters-in]
       transform: join
       config:
-        left: orders_raw
-        right: customers_raw
-        on: customer_id
+        left: readings
+        right: meters
+        on: meter
         type: INNER
-      output: orders_enriched
+      output: placed
       quality:
-        threshold: 0.95
+        threshold: 0.8
         rules:
-          - field: customer_id
+          - field: meter
             checks: [NOT_NULL]
-          - field: total_amount
-            checks: [{type: RANGE, min: 0.01, max: 999999.99}]
-    - {id: filter, type: TRANSFORM, depends_on: join, transform: filter, config: {condition: "total_amount > 0"}, output: orders_valid}
-    - {id: load-a, type: SINK, depends_on: [filter], connector: csv, config: {path: a}, input: orders_valid}
-    - {id: load-b, type: SINK, depends_on: [filter], connector: kafka, config: {topic: t, partitionBy: customer_id}, input: orders_valid}
+          - field: kilowatts
+            checks: [{type: RANGE, min: -5, max: 4200.5}]
+    - {id: sieve, type: TRANSFORM, depends_on: place, transform: filter, config: {condition: "kilowatts > 0"}, output: sound}
+    - {id: out-files, type: SINK, depends_on: [sieve], connector: csv, config: {path: a}, input: sound}
+    - {id: out-topic, type: SINK, depends_on: [sieve], connector: kafka, config: {topic: t, partitionBy: meter}, input: sound}
 """
 
 
@@ -47,16 +47,16 @@ def pipeline(edges):
 def test_document():
     p = parse_pipeline(DEMO)
     assert [s.type.value for s in p.steps] == ["SOURCE", "SOURCE", "TRANSFORM", "TRANSFORM", "SINK", "SINK"]
-    assert p.version == "1.0.0" and p.step("join").depends_on == ("extract-orders", "extract-customers")
-    assert p.step("join").config["on"] == "customer_id" and len(p.step("join").quality.rules) == 2
-    assert p.step("filter").depends_on == ("join",)
+    assert p.version == "1.0.0" and p.step("place").depends_on == ("readings-in", "meters-in")
+    assert p.step("place").config["on"] == "meter" and len(p.step("place").quality.rules) == 2
+    assert p.step("sieve").depends_on == ("place",)
 
 
 def test_words_that_look_like_booleans():
     assert load_yaml("on: 1\nyes: no\noff: true\ny: False") == {"on": 1, "yes": "no", "off": True, "y": False}
 
 
-@pytest.mark.parametrize("change", [("pipeline:", "pipe:"), ("id: orders-daily", "name2: x"), ("type: SOURCE", "type: WELL"), ("transform: join", "colour: red"), ("threshold:", "limit:"), ("connector: kafka, ", "")])
+@pytest.mark.parametrize("change", [("pipeline:", "pipe:"), ("id: meter-readings", "name2: x"), ("type: SOURCE", "type: WELL"), ("transform: join", "colour: red"), ("threshold:", "limit:"), ("connector: kafka, ", "")])
 def test_bad_documents(change):
     with pytest.raises(DefinitionError):
         parse_pipeline(DEMO.replace(*change, 1))
@@ -64,7 +64,7 @@ def test_bad_documents(change):
 
 def test_levels_of_the_demo():
     dag = build_dag(parse_pipeline(DEMO))
-    assert dag.roots == ["extract-orders", "extract-customers"]
+    assert dag.roots == ["readings-in", "meters-in"]
     assert [len(x) for x in dag.levels()] == [2, 1, 1, 2]
     assert dag.order()[2:4] == ["join", "filter"]
 
@@ -125,7 +125,7 @@ def test_step_states():
 
 
 def test_drift(spark):
-    before = [("order_id", "LONG"), ("customer_id", "INTEGER"), ("old", "STRING")]
+    before = [("order_id", "LONG"), ("meter", "INTEGER"), ("old", "STRING")]
     after = spark.createDataFrame([], "order_id bigint, customer_id string, discount double")
     said = drift(before, fields_of(after.schema))
     assert [s.split(":")[0] for s in said] == ["new field", "removed field", "type changed"]

@@ -2,10 +2,10 @@
 
 import pytest
 
-from tidegate.queries import engine, problems
+from tidegate.queries import connectors, engine, problems
 
-ORACLES = {**engine.ORACLE, **problems.ORACLE}
-QUERIES = {**engine.QUERIES, **problems.QUERIES}
+ORACLES = {**engine.ORACLE, **connectors.ORACLE, **problems.ORACLE}
+QUERIES = {**engine.QUERIES, **connectors.QUERIES, **problems.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -9,15 +9,17 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegate import fs
 from tidegate.engine.checkpoints import CheckpointManager, FileCheckpoints, MemoryCheckpoints
 from tidegate.engine.config import EngineConfig
 from tidegate.engine.executor import Execution, PipelineExecutor
 from tidegate.engine.metrics import Metrics
+from tidegate.engine.schemas import StoredSchemas
 from tidegate.errors import TidegateError
 from tidegate.lineage.graph import LineageGraph, LineageStore
-from tidegate.operators.transforms import TRANSFORMS
+from tidegate.operators.transforms import TRANSFORMS, load_plugins, register_function
 from tidegate.plans.dag import build_dag
 from tidegate.plans.model import PipelineDefinition, StepType, load_pipeline, parse_pipeline
 from tidegate.quality import html
@@ -62,7 +64,9 @@ class Engine:
         self.config = config or EngineConfig(storage=f"{self.storage}/outputs" if self.storage else None)
         self.metrics = Metrics()
         kept = checkpoints or (FileCheckpoints(spark, f"{self.storage}/checkpoints") if self.storage else MemoryCheckpoints())
-        self.executor = PipelineExecutor(spark, registry, self.config, kept, self.metrics)
+        schemas = StoredSchemas(spark, f"{self.storage}/schemas") if self.storage else None
+        self.executor = PipelineExecutor(spark, registry, self.config, kept, self.metrics, schemas)
+        load_plugins(list(self.config.plugins))
         self.pipelines: dict[str, PipelineDefinition] = {}
         self._runs: dict[str, Execution] = {}
         self._slots = threading.BoundedSemaphore(self.config.max_concurrent_pipelines)
@@ -105,7 +109,20 @@ class Engine:
         return Validation(not errors, errors, levels, health)
 
     def health(self) -> dict[str, str]:
-        return {name: "registered" for name in sorted(self.executor.registry.all())}
+        """Each connector's state: ``UP`` or ``DOWN`` and why, as the steps of the registered pipelines find it, or ``UNUSED``."""
+        found: dict[str, str] = dict.fromkeys(sorted(self.executor.registry.all()), "UNUSED")
+        for pipeline in self.pipelines.values():
+            for s in pipeline.steps:
+                connector = self.executor.registry.get(s.connector) if s.connector else None
+                if connector is None or found[connector.type.lower()].startswith("DOWN"):
+                    continue
+                h = connector.health(ReadContext(self.spark), Config(s.config))
+                found[connector.type.lower()] = "UP" if h.ok else f"DOWN: {s.id}: {h.reason}"
+        return found
+
+    def register_function(self, name: str, f, returns: str | None = None) -> None:
+        """Add a function that expressions and queries of steps can call: a UDF, an aggregate or a table function."""
+        register_function(self.spark, name, f, returns)
 
     # Executions
 
@@ -138,11 +155,26 @@ class Engine:
         return ExecutionInfo(run.id, run.pipeline.id, run.machine.state.value, run.started_at, run.finished_at, run.error, steps)
 
     def execution(self, execution_id: str) -> ExecutionInfo | None:
+        """An execution of this process, or one that the storage knows."""
         run = self._runs.get(execution_id)
-        return self._info(run) if run else None
+        return self._info(run) if run else self._stored(execution_id)
 
     def executions(self, pipeline_id: str) -> list[ExecutionInfo]:
-        return [self._info(r) for r in self._runs.values() if r.pipeline.id == pipeline_id]
+        """All executions of a pipeline, the earliest first."""
+        found = {r.id: self._info(r) for r in self._runs.values() if r.pipeline.id == pipeline_id}
+        if self.storage and fs.children(self.spark, f"{self.storage}/runs"):
+            # One row per execution of one pipeline: what the caller asked to have listed.
+            ids = [r["id"] for r in self.run_table("runs").filter(F.col("pipeline_id") == pipeline_id).select("id").collect()]
+            found |= {i: info for i in ids if i not in found and (info := self._stored(i))}
+        return sorted(found.values(), key=lambda i: (i.started_at or "", i.execution_id))
+
+    def _stored(self, execution_id: str) -> ExecutionInfo | None:
+        if not self.storage or not fs.exists(self.spark, f"{self.storage}/runs/{execution_id}.json"):
+            return None
+        rows = lambda name: [json.loads(x) for x in fs.read_text(self.spark, f"{self.storage}/{name}/{execution_id}.json").splitlines() if x]
+        r = rows("runs")[0]
+        steps = [{k: v for k, v in s.items() if k != "execution_id"} for s in rows("step_runs")]
+        return ExecutionInfo(r["id"], r["pipeline_id"], r["state"], r["started_at"], r["finished_at"], r["error_message"], steps)
 
     def frame(self, execution_id: str, dataset: str) -> DataFrame:
         """A dataset of an execution as a lazy frame."""

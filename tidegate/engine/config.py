@@ -24,6 +24,8 @@ class EngineConfig:
     drift_mode: str = "PERMISSIVE"
     checkpoint: str = "shared"
     storage: str | None = None
+    #: Modules that add transforms with ``transforms.register`` when they are imported.
+    plugins: tuple[str, ...] = ()
 
 
 def resolve(value: Any, params: dict[str, Any]) -> Any:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import threading
 import time
@@ -13,10 +14,12 @@ from typing import Any
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tidegate.engine.checkpoints import CheckpointManager, MemoryCheckpoints, StepCheckpoint
 from tidegate.engine.config import EngineConfig, now, resolve
 from tidegate.engine.metrics import Metrics
+from tidegate.engine.schemas import Schemas
 from tidegate.errors import DefinitionError, QualityGateError, StepTimeoutError, TidegateError
 from tidegate.lineage.graph import LineageRecorder
 from tidegate.operators import transforms
@@ -76,13 +79,13 @@ class PipelineExecutor:
 
     def __init__(
         self, spark: SparkSession, registry: Registry | None = None, config: EngineConfig | None = None, checkpoints: CheckpointManager | None = None,
-        metrics: Metrics | None = None, known_schemas: dict[str, list] | None = None,
+        metrics: Metrics | None = None, schemas: Schemas | None = None,
     ):
         self.spark, self.registry = spark, registry or default_registry()
         self.config, self.checkpoints = config or EngineConfig(), checkpoints if checkpoints is not None else MemoryCheckpoints()
         self.metrics = metrics or Metrics()
         #: The last schema of each source, against which drift is reported.
-        self.known_schemas = known_schemas if known_schemas is not None else {}
+        self.schemas = schemas if schemas is not None else Schemas()
 
     # Executions
 
@@ -212,16 +215,18 @@ class PipelineExecutor:
         if step.type is StepType.SOURCE:
             df = self.registry.need(step.connector).read(self._context(run), settings)
             run.lineage.source(step.dataset, fields_of(df.schema), step.id)
-            if found := check_drift(self.known_schemas.get(step.dataset, fields_of(df.schema)), df, self.config.drift_mode):
+            if found := check_drift(self.schemas.get(step.dataset) or fields_of(df.schema), df, self.config.drift_mode):
                 run.drift[step.dataset] = found
-            self.known_schemas[step.dataset] = fields_of(df.schema)
+            self.schemas.put(step.dataset, fields_of(df.schema))
             return df
         direct = [run.pipeline.step(d).dataset for d in step.depends_on]
         inputs = transforms.Inputs(self.spark, dict(run.frames), [d for d in direct if d in run.frames], run.params)
         out = transforms.apply(step.transform, inputs, settings)
         fields = fields_of(out.df.schema)
         theirs = {n: fields_of(run.frames[n].schema) for n in out.inputs if n in run.frames}
-        if out.origins is not None and len(out.inputs) == 1:
+        if out.sources is not None:
+            run.lineage.traced(out.kind, step.dataset, fields, out.sources, step.id)
+        elif out.origins is not None and len(out.inputs) == 1:
             run.lineage.mapped(out.kind, out.inputs[0], step.dataset, fields, out.origins, step.id)
         else:
             run.lineage.same_names(out.kind, theirs, step.dataset, fields, step.id)
@@ -247,8 +252,15 @@ class PipelineExecutor:
         settings = self._settings(run, step)
         direct = [run.pipeline.step(d).dataset for d in step.depends_on]
         name, df = transforms.Inputs(self.spark, run.frames, [d for d in direct if d in run.frames]).one(settings)
-        self._quality(run, step, df, result)
-        written = self.registry.need(step.connector).write(self._context(run), df, settings)
+        checked = bool(step.quality and step.quality.rules)
+        if checked:  # the rules and the write see one computation
+            df = df.persist()
+        try:
+            self._quality(run, step, df, result)
+            written = self.registry.need(step.connector).write(self._context(run), df, settings)
+        finally:
+            if checked:
+                df.unpersist()
         result.write, result.rows_read, result.rows_written = written, written.written + written.rejected, written.written
         result.rows_rejected = written.rejected + (result.quality.rows_rejected if result.quality else 0)
         target = settings.text("table") or settings.text("topic") or settings.text("path") or "unknown"
@@ -297,6 +309,10 @@ class PipelineExecutor:
             if not fs.exists(self.spark, f"{saved.location}/_SUCCESS"):
                 return False
             df = self.spark.read.parquet(saved.location)
+            if saved.schema_json and T.StructType.fromJson(json.loads(saved.schema_json)).simpleString() != df.schema.simpleString():
+                return False  # not what was stored
+            if saved.rows is not None and df.count() != saved.rows:
+                return False
             self._define(run, step)  # for the lineage
             run.frames[step.dataset] = df
         else:

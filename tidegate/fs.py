@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -55,8 +55,45 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def heads(spark: SparkSession, path: str, first: int = 1 << 16) -> Iterator[str]:
+    """Ever longer beginnings of a text file, up to all of it; characters cut at their end are left out."""
+    fs, p = _at(spark, path)
+    size, n = fs.getFileStatus(p).getLen(), first
+    while True:
+        stream = fs.open(p)
+        try:
+            yield bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, size))).decode("utf-8", "ignore").removeprefix("\ufeff")
+        finally:
+            stream.close()
+        if n >= size:
+            return
+        n *= 4
+
+
+def join_files(spark: SparkSession, paths: list[str], to: str) -> None:
+    """Put files behind each other under a new name, by streams, so none is held in memory."""
+    fs, p = _at(spark, to)
+    beside = f"{to}.{uuid.uuid4().hex}.tmp"
+    conf, utils = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
+    out = fs.create(_at(spark, beside)[1], True)
+    try:
+        for path in paths:
+            stream = fs.open(_at(spark, path)[1])
+            try:
+                utils.copyBytes(stream, out, conf, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+    fs.delete(p, False)
+    rename(spark, beside, to)
+
+
 def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put the folder ``fresh`` in the place of ``path``; the old one goes only when the new one is there."""
+    """Put the folder ``fresh`` in the place of ``path``; the old one goes only when the new one is there.
+
+    Between two renames there is nothing at ``path``; after a failure there the old rows are in ``path.old-*``.
+    """
     old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
     if exists(spark, path):
         rename(spark, path, old)
@@ -73,8 +110,7 @@ def write_single(spark: SparkSession, path: str, write: Callable[[str], None], a
     parts = [n for n in children(spark, folder) if n.startswith("part-")]
     fs, target = _at(spark, path)
     if append:
-        before = read_text(spark, path) if exists(spark, path) else ""
-        write_text(spark, path, before + "".join(read_text(spark, f"{folder}/{n}") for n in parts))
+        join_files(spark, [*([path] if exists(spark, path) else []), *[f"{folder}/{n}" for n in parts]], path)
     else:
         fs.delete(target, True)
         if parts:

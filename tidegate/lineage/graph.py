@@ -14,7 +14,7 @@ from tidegate.errors import TidegateError
 from tidegate.session import cut, drop
 
 #: How a field came from another.
-KINDS = ("SOURCE", "FILTER", "JOIN", "SINK", "SELECT", "AGGREGATE", "CUSTOM")
+KINDS = ("SOURCE", "JOIN", "FILTER", "AGGREGATE", "SELECT", "SINK", "CUSTOM")
 
 Field = tuple[str, str]
 
@@ -108,6 +108,15 @@ class LineageRecorder:
                     self.graph.add_edge(Edge((source, old), (dataset, name), kind, step))
 
 
+    def traced(self, kind: str, dataset: str, fields: list[tuple[str, str]], sources: dict[str, list[tuple[str, str]]], step: str) -> None:
+        """Each output field comes from the (dataset, field) pairs that ``sources`` names, as far as they are known."""
+        self._nodes(dataset, fields, step)
+        for name, _ in fields:
+            for old in sources.get(name, ()):
+                if old in self.graph.nodes:
+                    self.graph.add_edge(Edge(old, (dataset, name), kind, step))
+
+
 NODES = "execution_id string, node_id bigint, dataset_name string, field_name string, data_type string, step_id string"
 EDGES = "execution_id string, source_node_id bigint, target_node_id bigint, transformation_type string, step_id string"
 

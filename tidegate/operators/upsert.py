@@ -11,13 +11,16 @@ from tidegate import fs
 
 
 def last_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    """One row per key: the one with the largest ``order_by``, or without it any one. Null keys are kept apart and dropped.
+    """One row per key: the one with the largest ``order_by``, or without it the largest row, so that the result is the same each time.
+    Rows with a null key are dropped.
 
     An aggregate with map-side combine, so a key with very many rows is no burden.
     """
     rows = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     whole = F.struct(*[f"`{c}`" for c in df.columns])
-    picked = F.max_by(whole, F.struct(*[f"`{c}`" for c in order_by])) if order_by else F.any_value(whole)
+    # Maps have no order; as text they have.
+    plain = [F.col(f"`{c}`").cast("string") if "map<" in t or t == "variant" else F.col(f"`{c}`") for c, t in df.dtypes]
+    picked = F.max_by(whole, F.struct(*[f"`{c}`" for c in order_by] if order_by else plain))
     return rows.groupBy(*[f"`{k}`" for k in keys]).agg(picked.alias("__tg_row")).select("__tg_row.*")
 
 

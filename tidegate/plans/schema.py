@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidegate.errors import SchemaDriftError
 
+#: What happens when a schema has changed.
+DRIFT_MODES = ("PERMISSIVE", "STRICT", "IGNORE")
 #: The field types of pipeline documents and lineage.
 FIELD_TYPES = ["STRING", "INTEGER", "LONG", "DOUBLE", "DECIMAL", "BOOLEAN", "DATE", "TIMESTAMP", "BYTES", "UNKNOWN", "STRUCT", "ARRAY", "MAP"]
 
@@ -37,7 +37,7 @@ def drift(before: list[tuple[str, str]], after: list[tuple[str, str]]) -> list[s
 
 def check_drift(before: list[tuple[str, str]], df: DataFrame, mode: str = "PERMISSIVE") -> list[str]:
     """Drift of a frame against an earlier schema. PERMISSIVE reports it, STRICT raises, IGNORE is silent."""
-    if not re.fullmatch("PERMISSIVE|STRICT|IGNORE", mode):
+    if mode not in DRIFT_MODES:
         raise ValueError(f"unknown drift mode {mode}")
     said = [] if mode == "IGNORE" else drift(before, fields_of(df.schema))
     if said and mode == "STRICT":

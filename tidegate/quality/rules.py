@@ -23,7 +23,8 @@ from tidegate.errors import DefinitionError
 from tidegate.functions.text import is_blank, matches_whole, pattern_is_valid, to_instant, to_number
 from tidegate.plans.model import load_yaml
 
-RULE_TYPES = ("NOT_NULL", "RANGE", "REGEX", "UNIQUE", "FRESHNESS", "REFERENTIAL", "DISTRIBUTION")
+#: The rules that documents can name.
+RULE_TYPES = ("NOT_NULL", "RANGE", "UNIQUE", "REGEX", "FRESHNESS", "REFERENTIAL", "DISTRIBUTION")
 
 
 @dataclass(frozen=True)

@@ -28,22 +28,22 @@ def _apply(name: str, spark: SparkSession, inputs: dict[str, DataFrame], **confi
 
 DEMO = """
 pipeline:
-  id: orders-enriched
+  id: open-purchases
   steps:
-    - {{id: extract-orders, type: SOURCE, connector: parquet, config: {{path: "{dir}/orders.parquet"}}, output: orders_raw}}
-    - {{id: extract-customers, type: SOURCE, connector: parquet, config: {{path: "{dir}/customer.parquet", columns: [c_custkey, c_name, c_nationkey, c_mktsegment]}}, output: customers_raw}}
-    - id: join-orders-customers
+    - {{id: purchases-in, type: SOURCE, connector: parquet, config: {{path: "{dir}/orders.parquet"}}, output: purchases}}
+    - {{id: buyers-in, type: SOURCE, connector: parquet, config: {{path: "{dir}/customer.parquet", columns: [c_custkey, c_name, c_nationkey, c_mktsegment]}}, output: buyers}}
+    - id: add-buyers
       type: TRANSFORM
-      depends_on: [extract-orders, extract-customers]
+      depends_on: [purchases-in, buyers-in]
       transform: join
-      config: {{left: orders_raw, right: customers_raw, left_on: o_custkey, right_on: c_custkey, type: INNER, right_unique: true}}
-      output: orders_enriched
-    - id: filter-valid-orders
+      config: {{left: purchases, right: buyers, left_on: o_custkey, right_on: c_custkey, type: INNER, right_unique: true}}
+      output: purchases_by_buyer
+    - id: still-open
       type: TRANSFORM
-      depends_on: [join-orders-customers]
+      depends_on: [add-buyers]
       transform: filter
       config: {{condition: "o_orderstatus != 'F' AND o_totalprice > 0"}}
-      output: orders_valid
+      output: open_purchases
 """
 
 
@@ -52,10 +52,10 @@ def demo_orders_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     engine = Engine(spark, config=EngineConfig(checkpoint="none", max_retries=0))
     engine.register(DEMO.format(dir=sf_dir))
-    info = engine.execute("orders-enriched")
+    info = engine.execute("open-purchases")
     if info.error:
         raise RuntimeError(info.error)
-    return engine.frame(info.execution_id, "orders_valid")
+    return engine.frame(info.execution_id, "open_purchases")
 
 
 def source_parquet_project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,31 +336,16 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineage_edges").select("source_node_id", "target_node_id")
 
 
-def _raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineage_nodes").filter("lower(trim(dataset_name)) LIKE 'ledger%raw'").select(F.col("id").alias("node_id"))
-
-
-def lineage_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fields that the ledger's raw fields lead to."""
-    return reachable(_edges(spark, sf_dir), _raw_nodes(spark, sf_dir)).select("node_id")
-
-
-def lineage_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fields that the ledger's marts come from."""
-    marts = table(spark, sf_dir, "lineage_nodes").filter("lower(trim(dataset_name)) LIKE 'ledger%mart'").select(F.col("id").alias("node_id"))
-    return reachable(_edges(spark, sf_dir), marts, downstream=False).select("node_id")
-
-
 def _nodes_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return table(spark, sf_dir, "lineage_nodes").filter(f"lower(trim(dataset_name)) LIKE '%{kind}'").select(F.col("id").alias("node_id"))
 
 
-def lineage_downstream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineage_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields that the raw fields of any dataset lead to."""
     return reachable(_edges(spark, sf_dir), _nodes_of(spark, sf_dir, "raw")).select("node_id")
 
 
-def lineage_upstream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineage_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields that the marts of any dataset come from."""
     return reachable(_edges(spark, sf_dir), _nodes_of(spark, sf_dir, "mart"), downstream=False).select("node_id")
 
@@ -386,7 +371,7 @@ _FUNCTIONS = [
     join_right, join_full, join_semi, join_anti, join_multi_key, join_asof, join_range, quality_report_summary, quality_violations, quality_unique, quality_referential, quality_distribution,
     select_rename, select_expressions, derive_columns, aggregate_groupby, aggregate_having, agg_rollup, agg_cube, agg_grouping_sets, window_rank, window_running, window_frame, topk, distinct_rows, distinct_by_key,
     union_all, union_distinct, intersect_distinct, intersect_all, except_distinct, except_all, sql_named_params, sql_cte_subquery, sql_recursive, upsert_merge, kafka_payload, kafka_parse, json_props_extract,
-    lineage_downstream, lineage_upstream, lineage_downstream_all, lineage_upstream_all, lineage_sources, events_tumbling, events_sliding, events_session,
+    lineage_downstream, lineage_upstream, lineage_sources, events_tumbling, events_sliding, events_session,
 ]
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"quality_not_null": _one_rule(1), "quality_range": _one_rule(2), "quality_regex": _one_rule(3), "quality_freshness": _one_rule(4)}
 
@@ -404,11 +389,6 @@ _W = "SELECT o_orderkey, o_custkey, o_orderdate, round(o_totalprice * 100)::BIGI
 
 
 def _reach(name: str, a: str, b: str) -> str:
-    return f"""WITH RECURSIVE e AS (SELECT DISTINCT {a} AS a, {b} AS b FROM lineage_edges), s AS (SELECT DISTINCT id FROM lineage_nodes WHERE lower(trim(dataset_name)) LIKE 'ledger%{name}'),
-        t(n) AS (SELECT b FROM e JOIN s ON e.a = s.id UNION SELECT e.b FROM e JOIN t ON e.a = t.n) SELECT n AS node_id FROM t WHERE n NOT IN (SELECT id FROM s)"""
-
-
-def _reach_all(name: str, a: str, b: str) -> str:
     return f"""WITH RECURSIVE e AS (SELECT DISTINCT {a} AS a, {b} AS b FROM lineage_edges), s AS (SELECT DISTINCT id FROM lineage_nodes WHERE lower(trim(dataset_name)) LIKE '%{name}'),
         t(n) AS (SELECT b FROM e JOIN s ON e.a = s.id UNION SELECT e.b FROM e JOIN t ON e.a = t.n) SELECT n AS node_id FROM t WHERE n NOT IN (SELECT id FROM s)"""
 
@@ -467,8 +447,6 @@ ORACLE = {
     "json_props_extract": "SELECT event_id, props->>'$.k' AS k, len(json_keys(props))::BIGINT AS n_keys FROM events",
     "lineage_downstream": _reach("raw", "source_node_id", "target_node_id"),
     "lineage_upstream": _reach("mart", "target_node_id", "source_node_id"),
-    "lineage_downstream_all": _reach_all("raw", "source_node_id", "target_node_id"),
-    "lineage_upstream_all": _reach_all("mart", "target_node_id", "source_node_id"),
     "lineage_sources": "SELECT DISTINCT id AS node_id FROM lineage_nodes WHERE id NOT IN (SELECT target_node_id FROM lineage_edges WHERE target_node_id IS NOT NULL)",
     "events_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL",
     "events_sliding": "SELECT s AS window_start, s + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 4 HOUR]) AS s FROM events) GROUP BY ALL",

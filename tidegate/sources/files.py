@@ -112,9 +112,15 @@ class JsonConnector(_Files):
         if lines:
             row = ctx.spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
             text = row[0]["value"] if row else "{}"
-        else:
-            row = ctx.spark.read.text(path, wholetext=True).select(F.substring("value", 1, 1_000_000).alias("v")).limit(1).collect()
-            text = (row[0]["v"] if row else "[]").lstrip().removeprefix("[").lstrip()
+            return self._keys(text)
+        row = ctx.spark.read.format("binaryFile").load(path).select("path").limit(1).collect()  # lists files, reads none
+        for text in fs.heads(ctx.spark, row[0]["path"]) if row else ():
+            if keys := self._keys(text.lstrip().removeprefix("[").lstrip()):
+                return keys
+        return []
+
+    def _keys(self, text: str) -> list[str]:
+        """The keys of the object that a text begins with; none if it is not whole yet."""
         try:
             first, _ = jsonlib.JSONDecoder().raw_decode(text)
             return list(first) if isinstance(first, dict) else []

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from tidegate.errors import ConnectorError
 from tidegate.sources.base import BaseConnector, Config, Health, ReadContext, WriteResult, counted
 
+log = logging.getLogger("tidegate")
+
 
 class SqlConnector(BaseConnector):
     """A query with named parameters, or a table with columns, over the session's tables and views."""
@@ -100,14 +104,20 @@ class JdbcConnector(BaseConnector):
         from tidegate.operators.upsert import last_per_key
 
         target = options["dbtable"]
-        side = f"{target}_incoming"
-        last_per_key(df, keys, config.names("orderBy")).write.format("jdbc").mode("overwrite").options(**(options | {"dbtable": side})).save()
+        side = f"{target}_in_{uuid.uuid4().hex[:12]}"  # executions that run together have one each
         columns = ", ".join(f'"{c}"' for c in df.columns)
         same = " AND ".join(f'{side}."{k}" = {target}."{k}"' for k in keys)
-        self.run(ctx, options, [f"DELETE FROM {target} WHERE EXISTS (SELECT 1 FROM {side} WHERE {same})", f"INSERT INTO {target} ({columns}) SELECT {columns} FROM {side}", f"DROP TABLE {side}"])
+        try:
+            last_per_key(df, keys, config.names("orderBy")).write.format("jdbc").mode("error").options(**(options | {"dbtable": side})).save()
+            self.run(ctx, options, [f"DELETE FROM {target} WHERE EXISTS (SELECT 1 FROM {side} WHERE {same})", f"INSERT INTO {target} ({columns}) SELECT {columns} FROM {side}"])
+        finally:
+            try:
+                self.run(ctx, options, [f"DROP TABLE {side}"])
+            except Exception as e:  # it may never have come to be
+                log.debug("side table %s: %s", side, e)
 
-    def run(self, ctx: ReadContext, options: dict[str, str], statements: list[str]) -> None:
-        """Statements in one transaction, on the driver's connection."""
+    def _connection(self, ctx: ReadContext, options: dict[str, str]):
+        """A connection of the driver, with the settings that reading and writing have."""
         jvm = ctx.spark.sparkContext._jvm
         if options.get("driver"):
             jvm.org.apache.spark.util.Utils.classForName(options["driver"], True, False)
@@ -115,7 +125,11 @@ class JdbcConnector(BaseConnector):
         for k in ("user", "password"):
             if options.get(k):
                 props.setProperty(k, options[k])
-        connection = jvm.java.sql.DriverManager.getConnection(options["url"], props)
+        return jvm.java.sql.DriverManager.getConnection(options["url"], props)
+
+    def run(self, ctx: ReadContext, options: dict[str, str], statements: list[str]) -> None:
+        """Statements in one transaction."""
+        connection = self._connection(ctx, options)
         try:
             connection.setAutoCommit(False)
             for s in statements:
@@ -132,8 +146,7 @@ class JdbcConnector(BaseConnector):
     def health(self, ctx: ReadContext, config: Config) -> Health:
         began = time.perf_counter()
         try:
-            options = self._options(config)
-            connection = ctx.spark.sparkContext._jvm.java.sql.DriverManager.getConnection(options["url"])
+            connection = self._connection(ctx, self._options(config))
             ok = connection.isValid(3)
             connection.close()
             return Health(self.type, ok, (time.perf_counter() - began) * 1000, "" if ok else "the connection is not valid")
@@ -171,8 +184,8 @@ class KafkaConnector(BaseConnector):
 
     def read(self, ctx: ReadContext, config: Config) -> DataFrame:
         raw = self._raw(ctx, config)
-        most = config.whole("maxRecords", 1000)
-        if most > 0:  # one bounded poll; 0 reads all
+        most = config.whole("maxRecords", 0)
+        if most > 0:  # a bounded poll where one is asked for, the first of the lowest partitions; otherwise all
             raw = raw.orderBy("partition", "offset").limit(most)
         schema = config.text("schema") or self._schema(raw)
         return kafka_rows(raw, f"{schema}, __tg_bad string")
