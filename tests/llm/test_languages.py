@@ -16,8 +16,7 @@ def samples(duck):
 def net(duck, samples):
     """Trained without the documents whose id is even."""
     rows = duck.execute("SELECT lang, text FROM read_parquet('/root/testdata/sf0.01/documents.parquet') WHERE doc_id % 2 = 1 AND text <> ''").fetchall()
-    items = duck.execute("SELECT lang, text FROM eval_items").fetchall()
-    return L.train(samples + items, [(c, t) for lang, t in rows if (c := L.label_code(lang))])
+    return L.train(samples, [(c, t) for lang, t in rows if (c := L.label_code(lang))])
 
 
 def main(found):
@@ -75,8 +74,26 @@ def test_long_words_are_read_whole(net):
     assert joined == b" " + word.encode() + b" "
 
 
+KNOWN = ["de", "en", "es", "fr", "it", "pt", "ru"]
+
+
 def test_labels():
-    assert [L.label_code(x) for x in ("EN", "en-US", "fr_FR", " Deutsch ", "por", "Russian", "xx", "und", "", None, "N/A", "nl")] == ["en", "en", "fr", "de", "pt", "ru", *[None] * 6]
+    assert [L.label_code(x, KNOWN) for x in ("EN", "en-US", "fr_FR", " Deutsch ", "por", "Russian", "xx", "und", "", None, "N/A", "nl")] == ["en", "en", "fr", "de", "pt", "ru", *[None] * 6]
+    assert [L.label_code(x) for x in ("nl-BE", "NLD", "dutch", "12", "english")] == ["nl", "nld", None, None, "en"]
+
+
+def test_an_eighth_language_comes_with_its_samples(spark):
+    """Languages are those of the samples, whatever the table of spellings holds."""
+    rng = np.random.default_rng(3)
+    words = {"nl": "het een ijzer wordt gemaakt niet zijn voor deze waarbij vloeistof geleid naar tussen klep".split(), "en": "the of this fluid which between valve made being from into where steel not".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    samples = spark.createDataFrame([(lang, text(lang, 12), i) for i in range(40) for lang in words], "lang string, text string, n int")
+    docs = spark.createDataFrame([(i, ["nl", "nl-NL", None, "en"][i % 4], text("nl" if i % 4 < 3 else "en", 60), "x", 1) for i in range(40)], DOCS)
+    clean, labelled = L.training_pairs(docs, [samples])
+    assert {c for c, _ in clean} == {"nl", "en"} and len(labelled) == 30
+    net = L.trained(clean, labelled)
+    assert L.trained(clean, labelled) is net
+    assert {tuple(r) for r in L.language_cases(L.passages(docs, net)).collect()} == {(i, "nl") for i in range(2, 40, 4)}
 
 
 def test_cases_and_odd_texts(spark, net, samples):

@@ -15,13 +15,16 @@ Defined results:
 * null or wordless texts and texts without language get ``und`` with confidence 0;
 * a document's language is the one of most of its words, ties go to the first in order of name;
 * labels count as spelled by ``label_code``: codes of two or three letters, names, with or
-  without a region; a label that names none of the known languages is no valid label;
-* passage bounds are exact to a block of ``BLOCK`` words; texts of any length are read whole;
+  without a region; the known languages are those of the clean samples, and a label that names none of them is
+  no valid label;
+* passage bounds are exact to a block of ``BLOCK`` words; texts of any length are read whole; text without blanks
+  is one word, read in overlapping pieces;
 * repeated documents get the same result, extra columns are ignored, empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,10 @@ BLOCK, MIN_PASSAGE, MIN_WORDS = 4, 20, 20
 #: Filters by width in bytes.
 FILTERS = {2: 16, 3: 24, 4: 24, 6: 16}
 WIDEST, ROOM = max(FILTERS), 40
-#: Documents that training may read at most (about), besides the clean samples.
-TRAIN_DOCS, STEPS, BATCH, RATE = 2_500, 300, 256, 0.01
+#: Labelled documents that training reads (about), and clean samples that it reads of each table at most, both
+#: chosen by a hash. These are the only bounds; what is classified is not bounded.
+TRAIN_DOCS, TRAIN_SAMPLES = 2_500, 10_000
+STEPS, BATCH, RATE = 300, 256, 0.01
 #: Evidence of one window is bounded by this floor; a change of language costs CHANGE.
 FLOOR, CHANGE = 0.02, 5.0
 #: A run whose confidence is lower is no passage: it says less than chance and noise explain.
@@ -48,7 +53,8 @@ UNKNOWN = "und"
 #: Different words that a task keeps features of.
 KEPT_WORDS = 300_000
 
-#: Names of the languages in labels (two- and three-letter codes, English and own names).
+#: Further spellings of languages in labels (three-letter codes, English and own names). A language
+#: that is not here is known by its two- or three-letter code.
 LABELS = {
     "en": ["en", "eng", "english"],
     "de": ["de", "deu", "ger", "german", "deutsch"],
@@ -60,17 +66,18 @@ LABELS = {
 }
 
 
-def label_code(label: str | None) -> str | None:
-    """The two-letter code that a label names, or None."""
+def label_code(label: str | None, known: list[str] | None = None) -> str | None:
+    """The code of the language that a label names, or None; only of ``known`` languages if they are given."""
     head = (label or "").strip().lower().replace("_", "-").split("-")[0]
-    return next((code for code, names in LABELS.items() if head in names), None)
+    code = next((code for code, names in LABELS.items() if head in names), head if len(head) in (2, 3) and head.isalpha() else None)
+    return code if known is None or code in known else None
 
 
-def _label_column(c):
+def _label_column(c, known: list[str]):
     head = F.element_at(F.split(F.translate(F.lower(F.trim(c)), "_", "-"), "-"), 1)
     code = F.lit(None).cast("string")
-    for k, names in LABELS.items():
-        code = F.when(head.isin(names), k).otherwise(code)
+    for k in known:
+        code = F.when(head.isin(LABELS.get(k, [k])), k).otherwise(code)
     return code
 
 
@@ -358,13 +365,32 @@ class Reader:
 
 
 def training_pairs(documents: DataFrame, samples: list[DataFrame], docs: int = TRAIN_DOCS) -> tuple[list, list]:
-    """Clean (lang, text) pairs of ``samples`` and about ``docs`` labelled documents, chosen by a hash of the id."""
-    clean = [(code, r["text"]) for s in samples for r in s.select("lang", "text").limit(10_000).collect() if (code := label_code(r["lang"])) and r["text"]]
+    """Clean (lang, text) pairs of ``samples``, whose languages are the known ones, and about ``docs`` documents labelled with one of them."""
+    clean = []
+    for s in samples:
+        rows = s.select("lang", "text").filter("lang is not null and text is not null").orderBy(F.xxhash64("lang", "text")).limit(TRAIN_SAMPLES).collect()
+        clean += [(code, r["text"]) for r in rows if (code := label_code(r["lang"])) and r["text"]]
+    known = sorted({lang for lang, _ in clean})
     total = documents.count()
     share = min(1.0, docs / max(total, 1))
-    picked = documents.select(_label_column(F.col("lang")).alias("code"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"))
+    picked = documents.select(_label_column(F.col("lang"), known).alias("code"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"), "doc_id")
     rows = picked.filter((F.col("h") < int(share * 1_000_000) + 1) & F.col("code").isNotNull() & F.col("text").isNotNull())
-    return clean, [(r["code"], r["text"]) for r in rows.select("code", "text").limit(2 * docs).collect()]
+    return sorted(clean), [(r["code"], r["text"]) for r in rows.orderBy("h", "doc_id", "code", "text").limit(2 * docs).select("code", "text").collect()]
+
+
+#: Networks of this process by what they were trained on, the last KEPT_NETS of them.
+_trained: dict[str, ByteNet] = {}
+KEPT_NETS = 4
+
+
+def trained(clean: list[tuple[str, str]], labelled: list[tuple[str, str]]) -> ByteNet:
+    """``train``, once for the same pairs; a network is a few hundred kilobytes."""
+    key = hashlib.sha256(repr((clean, labelled)).encode("utf-8", "replace")).hexdigest()
+    if key not in _trained:
+        while len(_trained) >= KEPT_NETS:
+            _trained.pop(next(iter(_trained)))
+        _trained[key] = train(clean, labelled)
+    return _trained[key]
 
 
 PASSAGES = "doc_id bigint, label string, n_words bigint, n_passages int, passage_no int, lang string, first_word bigint, word_after bigint, confidence double, main_lang string, main_confidence double, mixed boolean"
@@ -380,6 +406,7 @@ def passages(documents: DataFrame, net: ByteNet) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(ByteNet.of(sent.value))
+        known = reader.net.classes[:-1]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -393,7 +420,7 @@ def passages(documents: DataFrame, net: ByteNet) -> DataFrame:
                     main = min(size, key=lambda x: (-size[x], x)) if size else UNKNOWN
                     sure = sum(c * (b - a) for lang, a, b, c in found if lang == main) / max(1, size.get(main, 1))
                     for i, (lang, a, b, c) in enumerate(found or [(UNKNOWN, 0, 0, 0.0)]):
-                        for col, v in zip(out, (doc, label_code(label), n, len(found), i, lang, a, b, c, main, round(sure, 4), len(size) > 1)):
+                        for col, v in zip(out, (doc, label_code(label, known), n, len(found), i, lang, a, b, c, main, round(sure, 4), len(size) > 1)):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES)], names=_NAMES)
 

@@ -77,7 +77,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    net = languages.train(*languages.training_pairs(documents, [table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "eval_items")]))
+    net = languages.trained(*languages.training_pairs(documents, [table(spark, sf_dir, "lang_samples")]))
     return languages.passages(documents, net)
 
 
