@@ -113,7 +113,7 @@ def test_preloaded_checkpoint(spark, tmp_path):
 
 def test_steps_of_a_level_run_together_and_time_out(spark, tmp_path):
     def slow(inputs, config):
-        time.sleep(0.7)
+        time.sleep(1.5)
         return inputs.one(config)[1]
 
     transforms.register("slow", slow)
@@ -123,7 +123,7 @@ def test_steps_of_a_level_run_together_and_time_out(spark, tmp_path):
     e.execute("wide")  # code is loaded and compiled in the first run
     began = time.perf_counter()
     assert e.execute("wide").state == "COMPLETED"
-    assert time.perf_counter() - began < 2.6
+    assert time.perf_counter() - began < 5
 
     def stuck(inputs, config):
         spark.range(50_000_000_000).select(F.sum(F.hash(F.col("id") + 1))).collect()

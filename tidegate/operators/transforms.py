@@ -65,12 +65,15 @@ Transform = Callable[[Inputs, Config], Output]
 
 def _names(df: DataFrame, expression: str) -> list[str]:
     """Columns of ``df`` that a SQL expression mentions, by Spark's own parser."""
-    jvm = df.sparkSession.sparkContext._jvm
-    found = df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(expression).references().toSeq()
+    as_java = df.sparkSession.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava
     by = {c.lower(): c for c in df.columns}
-    named = [found.apply(i) for i in range(found.size())]
-    parts = [jvm.scala.jdk.javaapi.CollectionConverters.asJava(a.nameParts()) if hasattr(a, "nameParts") else [a.name()] for a in named]
-    return sorted({by[p[0].lower()] for p in parts if p[0].lower() in by}, key=df.columns.index)
+    found, stack = set(), [df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(expression)]
+    while stack:
+        e = stack.pop()
+        if e.getClass().getSimpleName() == "UnresolvedAttribute":
+            found.add(by.get(as_java(e.nameParts())[0].lower()))
+        stack.extend(as_java(e.children()))
+    return [c for c in df.columns if c in found]
 
 
 def filter_(inputs: Inputs, config: Config) -> Output:
