@@ -39,7 +39,7 @@ from datetime import datetime
 from decimal import Decimal, InvalidOperation
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.operators.chunks import TARGET_ROWS, chunk_of, hot_bounds, with_bounds
@@ -49,7 +49,7 @@ CHANGES = "dataset_name string, execution_id string, started_us bigint, change s
 
 
 def _clean(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(c, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def schema_versions(nodes: DataFrame, executions: DataFrame) -> DataFrame:
@@ -175,7 +175,12 @@ def schema_changes(nodes: DataFrame, executions: DataFrame, target_rows: int = T
     columns = ["dataset_name", "chunk", "state", "started_us", "execution_id", "fields", "fingerprint"]
 
     def walked(rows: DataFrame, only_state: bool, schema: str) -> DataFrame:
-        return rows.select(*columns).repartition("dataset_name", "chunk").sortWithinPartitions(*order).mapInArrow(_walk(only_state), schema)
+        # A version with the fingerprint of the one before and no type to fill in changes nothing and goes no further. The
+        # window brings the rows of a chunk together and in order, as the walk needs them.
+        before = F.lag("fingerprint").over(Window.partitionBy("dataset_name", "chunk").orderBy("started_us", "execution_id"))
+        same = (before == F.col("fingerprint")) & ~F.exists("fields", lambda f: f["type"].isNull())
+        news = rows.select(*columns).withColumn("same", F.coalesce(same, F.lit(False))).filter("not same").drop("same")
+        return news.sortWithinPartitions(*order).mapInArrow(_walk(only_state), schema)
 
     no_state = F.lit(None).cast("string").alias("state")
     if bounds is None:
