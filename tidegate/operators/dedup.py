@@ -175,32 +175,38 @@ def _shrink(id_cols: list[str], order_cols: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}  # hash -> [identifier, order, row, copies]
-
-        def key(batch: pa.RecordBatch, names: list[str], row: int) -> tuple:
-            return tuple(batch.column(batch.schema.get_field_index(c))[row].as_py() for c in names)
-
         rank = lambda values: tuple((v is not None, v) for v in values)
         for batch in batches:
             h = batch.column(batch.schema.get_field_index(_H)).to_numpy()
-            ids, counts = np.unique(h, return_counts=True)
-            often = {int(x) for x in ids[counts >= HOT_COPIES]} | (held.keys() & set(ids.tolist()) if held else set())
-            stay = np.ones(len(h), bool)
-            for x in often:
-                rows = np.flatnonzero(h == x)
-                if x not in held and len(held) >= HELD:
-                    continue
-                for r in map(int, rows):
-                    ident = key(batch, id_cols, r)
-                    if x not in held:
-                        held[x] = [ident, rank(key(batch, order_cols, r)), batch.slice(r, 1), 0]
-                    if held[x][0] == ident:
-                        stay[r] = False
-                        held[x][3] += 1
-                        if (now := rank(key(batch, order_cols, r))) < held[x][1]:
-                            held[x][1:3] = [now, batch.slice(r, 1)]
-            yield batch if stay.all() else batch.filter(pa.array(stay))
-        for _, _, row, n in held.values():
-            yield row.set_column(row.schema.get_field_index(_N), row.schema.field(_N), pa.array([n], pa.int64()))
+            order = np.argsort(h, kind="stable")
+            begins = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1])
+            sizes = np.diff(np.append(begins, len(h)))
+            hashes = h[order[begins]] if len(h) else h
+            often = sizes >= HOT_COPIES
+            if held:
+                often |= np.isin(hashes, np.fromiter(held, np.int64, len(held)))
+            rows = order[np.repeat(often, sizes)] if len(h) else order
+            if not len(rows):
+                yield batch
+                continue
+            some, stay = batch.take(pa.array(rows)), np.ones(len(h), bool)
+            cells = lambda names: zip(*(some.column(some.schema.get_field_index(c)).to_pylist() for c in names)) if names else [()] * len(rows)  # noqa: E731, B023
+            for k, (r, x, ident, place) in enumerate(zip(rows.tolist(), h[rows].tolist(), cells(id_cols), map(rank, cells(order_cols)))):
+                mine = held.get(x)
+                if mine is None:
+                    if len(held) >= HELD:
+                        continue
+                    mine = held[x] = [ident, place, some.slice(k, 1), 0]  # of the repeats only, so that the batch itself can go
+                if mine[0] == ident:
+                    stay[r] = False
+                    mine[3] += 1
+                    if place < mine[1]:
+                        mine[1:3] = [place, some.slice(k, 1)]
+            yield batch.filter(pa.array(stay))
+        if held:
+            kept = pa.Table.from_batches([x[2] for x in held.values()]).combine_chunks()
+            at = kept.schema.get_field_index(_N)
+            yield from kept.set_column(at, kept.schema.field(at), pa.array([x[3] for x in held.values()], pa.int64())).combine_chunks().to_batches(10_000)
 
     return run
 
