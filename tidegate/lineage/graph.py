@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import threading
 from collections import deque
 from dataclasses import dataclass
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.errors import TidegateError
-from tidegate.session import cut, drop
+from tidegate.session import cut, cut_and_count, drop, read_cuts
 
 #: How a field came from another.
 KINDS = ("SOURCE", "JOIN", "FILTER", "AGGREGATE", "SELECT", "SINK", "CUSTOM")
@@ -155,24 +154,22 @@ def reachable(edges: DataFrame, starts: DataFrame, downstream: bool = True, most
     """(node_id, distance): all nodes that the ``starts`` (node_id) lead to, or come from, without themselves.
 
     ``edges`` has source_node_id and target_node_id. A node is visited once, so cycles end; rounds are
-    joins, and each round's rows go to the shared folder. For very deep graphs see ``hierarchy``.
+    joins, and each round writes the nodes that are new in it to the shared folder. For very deep graphs see ``hierarchy``.
     It ends when a round finds no fresh node; nodes beyond ``most`` links, if that is given, are an error.
     """
     a, b = ("source_node_id", "target_node_id") if downstream else ("target_node_id", "source_node_id")
-    links = edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).filter("node_id is not null and next is not null").distinct()
-    seen = cut(starts.select("node_id").distinct().withColumn("distance", F.lit(0)))
-    for step in itertools.count(1):
-        fresh = seen.filter(F.col("distance") == step - 1).join(links, "node_id").select(F.col("next").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
-        grown = cut(seen.unionByName(fresh.withColumn("distance", F.lit(step))))
-        ended = grown.filter(F.col("distance") == step).isEmpty()
-        drop(seen)
-        seen = grown
-        if ended:
-            break
-        if most is not None and step > most:
-            drop(seen)
+    links = cut(edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).filter("node_id is not null and next is not null").distinct())
+    parts, found = [cut(starts.select("node_id").distinct().withColumn("distance", F.lit(0)))], 1
+    while found:
+        fresh = parts[-1].join(links, "node_id").select(F.col("next").alias("node_id")).distinct().join(read_cuts(parts), "node_id", "left_anti")
+        new, found = cut_and_count(fresh.withColumn("distance", F.lit(len(parts))), "true")
+        parts.append(new)
+        if found and most is not None and len(parts) - 1 > most:
+            for p in parts:
+                drop(p)
             raise TidegateError(f"there are nodes more than {most} links away")
-    return seen.filter("distance > 0")
+    drop(links)
+    return read_cuts(parts).filter("distance > 0")
 
 
 def source_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
