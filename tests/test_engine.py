@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegate.engine import Engine, EngineConfig
 from tidegate.engine.checkpoints import FileCheckpoints, MemoryCheckpoints, NoCheckpoints, StepCheckpoint
 from tidegate.engine.config import resolve
+from tidegate.engine.jdbc_stores import JdbcCheckpoints, JdbcLineageStore
 from tidegate.errors import DefinitionError, TidegateError
 from tidegate.operators import transforms
 from tidegate.sources import BaseConnector, default_registry
@@ -204,9 +205,12 @@ def test_parameters():
         resolve("${nothing}", {})
 
 
-@pytest.mark.parametrize("kind", ["memory", "file", "none"])
+DERBY = {"url": "jdbc:derby:memory:stores;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+@pytest.mark.parametrize("kind", ["memory", "file", "none", "jdbc"])
 def test_checkpoint_managers(spark, tmp_path, kind):
-    m = {"memory": MemoryCheckpoints, "file": lambda: FileCheckpoints(spark, str(tmp_path)), "none": NoCheckpoints}[kind]()
+    m = {"memory": MemoryCheckpoints, "file": lambda: FileCheckpoints(spark, str(tmp_path)), "none": NoCheckpoints, "jdbc": lambda: JdbcCheckpoints(spark, DERBY)}[kind]()
     for i in range(1, 7):
         m.save(StepCheckpoint("e", f"s{i}", f"2025-01-0{7 - i}"))
     m.save(StepCheckpoint("e", "s1", "2025-02-01", rows=5))
@@ -220,6 +224,21 @@ def test_checkpoint_managers(spark, tmp_path, kind):
     assert m.find_all("e") == [] and len(m.find_all("other")) == 1
 
 
+def test_runs_kept_in_a_database(spark, tmp_path):
+    e, _ = flaky_engine(spark, tmp_path, 3)
+    e.executor.checkpoints, e.lineage_store = JdbcCheckpoints(spark, DERBY, "steps_done"), JdbcLineageStore(spark, DERBY)
+    info = e.execute("copy", {"least": 100})
+    assert info.state == "FAILED"
+    other = engine(spark, tmp_path, registry=e.executor.registry, checkpoints=JdbcCheckpoints(spark, DERBY, "steps_done"), lineage=JdbcLineageStore(spark, DERBY))
+    other.pipelines = e.pipelines
+    before = other.lineage(info.execution_id)
+    assert before == e.lineage(info.execution_id) and before["edge_count"] > 3
+    after = other.resume("copy", info.execution_id, {"least": 100})
+    assert [s["state"] for s in after.steps] == ["SKIPPED", "SKIPPED", "SKIPPED", "COMPLETED"]
+    again = JdbcLineageStore(spark, DERBY).load(info.execution_id)
+    assert len(again.nodes) == other.lineage(info.execution_id)["node_count"]
+
+
 def test_metrics_text():
     from tidegate.engine.metrics import Metrics
 

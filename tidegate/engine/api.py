@@ -59,10 +59,12 @@ class Validation:
 class Engine:
     """Pipelines, their executions, lineage and health. ``storage`` keeps run tables, lineage, checkpoints and reports."""
 
-    def __init__(self, spark: SparkSession, registry: Registry | None = None, config: EngineConfig | None = None, storage: str | None = None, checkpoints: CheckpointManager | None = None):
+    def __init__(self, spark: SparkSession, registry: Registry | None = None, config: EngineConfig | None = None, storage: str | None = None, checkpoints: CheckpointManager | None = None, lineage=None):
         self.spark, self.storage = spark, storage.rstrip("/") if storage else None
         self.config = config or EngineConfig(storage=f"{self.storage}/outputs" if self.storage else None)
         self.metrics = Metrics()
+        #: Where graphs are kept: a store with ``save`` and ``load``, by default Parquet under ``storage``.
+        self.lineage_store = lineage or (LineageStore(spark, f"{self.storage}/lineage") if self.storage else None)
         kept = checkpoints or (FileCheckpoints(spark, f"{self.storage}/checkpoints") if self.storage else MemoryCheckpoints())
         schemas = StoredSchemas(spark, f"{self.storage}/schemas") if self.storage else None
         self.executor = PipelineExecutor(spark, registry, self.config, kept, self.metrics, schemas)
@@ -145,6 +147,8 @@ class Engine:
         info = self._info(run)
         if self.storage:
             self._keep(run, info)
+        if self.lineage_store is not None and run.lineage.graph.nodes:
+            self.lineage_store.save(run.id, run.lineage.graph)
         return info
 
     def _info(self, run: Execution) -> ExecutionInfo:
@@ -185,8 +189,8 @@ class Engine:
     def _graph(self, execution_id: str) -> LineageGraph:
         if execution_id in self._runs:
             return self._runs[execution_id].lineage.graph
-        if self.storage:
-            return LineageStore(self.spark, f"{self.storage}/lineage").load(execution_id)
+        if self.lineage_store is not None:
+            return self.lineage_store.load(execution_id)
         raise KeyError(f"no execution '{execution_id}'")
 
     def impact(self, execution_id: str, dataset: str, name: str) -> LineageInfo:
@@ -214,7 +218,7 @@ class Engine:
     # Run tables
 
     def _keep(self, run: Execution, info: ExecutionInfo) -> None:
-        """One small JSON file per execution and table: runs, step_runs, quality_results; lineage as Parquet; reports as HTML."""
+        """One small JSON file per execution and table: runs, step_runs, quality_results; reports as HTML."""
         put = lambda table, rows: fs.write_text(self.spark, f"{self.storage}/{table}/{run.id}.json", "\n".join(map(json.dumps, rows)))
         put("runs", [{"id": info.execution_id, "pipeline_id": info.pipeline_id, "pipeline_version": run.pipeline.version, "state": info.state, "started_at": info.started_at, "finished_at": info.finished_at, "error_message": info.error, "parameters": json.dumps(run.params, default=str)}])
         put("step_runs", [{"execution_id": run.id, **s} for s in info.steps])
@@ -222,8 +226,6 @@ class Engine:
         put("quality_results", [{"execution_id": run.id, "dataset": q.dataset, "field": r.field, "rule": r.rule, "passed": r.passed, "failed": r.failed, "failure_rate": round(r.failure_rate, 4), "threshold": r.threshold} for q in reports for r in q.results])
         for q in reports:
             fs.write_text(self.spark, f"{self.storage}/reports/{run.id}/{html.file_name(q)}", html.render(q))
-        if run.lineage.graph.nodes:
-            LineageStore(self.spark, f"{self.storage}/lineage").save(run.id, run.lineage.graph)
 
     def run_table(self, name: str) -> DataFrame:
         """``runs``, ``step_runs`` or ``quality_results`` of all executions."""

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.engine.api import Engine
 from tidegate.engine.config import EngineConfig
 from tidegate.lineage.graph import LineageStore
 from tidegate.operators import transforms
-from tidegate.session import shared_dir, table
+from tidegate.session import cut, shared_dir, table
 from tidegate.sources import BaseConnector, Config, ReadContext, WriteResult, default_registry
 
 EAGER = EngineConfig(checkpoint="all", max_retries=0)
@@ -250,6 +250,16 @@ def yaml_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("parent_id IS NOT NULL").select("node_id", "root_id", "depth", "status")
 
 
+def hierarchy_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals of descendants read back: for each node how many they are and the sum of their ids, from prefix sums over the numbers of its tree."""
+    frames = {"n": table(spark, sf_dir, "lineage_nodes"), "e": table(spark, sf_dir, "lineage_edges")}
+    out = cut(_step(spark, "hierarchy", frames, nodes="n", links="e", parent="source_node_id", child="target_node_id", paths=False))
+    upto = out.select(F.col("tree_no").alias("t"), F.col("number").alias("k"), F.sum("node_id").over(Window.partitionBy("tree_no").orderBy("number")).alias("s"))
+    last, own = upto.toDF("t1", "k1", "s1"), upto.toDF("t2", "k2", "s2")
+    found = out.join(last, (F.col("tree_no") == F.col("t1")) & (F.col("descendants_to") == F.col("k1"))).join(own, (F.col("tree_no") == F.col("t2")) & (F.col("number") == F.col("k2")))
+    return found.select("node_id", (F.col("descendants_to") - F.col("descendants_from") + 1).alias("n"), (F.col("s1") - F.col("s2")).alias("ids"))
+
+
 def yaml_schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = {"n": table(spark, sf_dir, "lineage_nodes"), "r": table(spark, sf_dir, "pipeline_executions")}
     return _step(spark, "schema_changes", frames, nodes="n", executions="r").select("dataset_name", "execution_id", "change", "field_before", "field_after")
@@ -303,7 +313,7 @@ def join_asof_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         csv_roundtrip, csv_append, csv_single_file, csv_strict, json_lines, json_array, parquet_append, parquet_upsert, jdbc_insert, jdbc_truncate_insert, jdbc_upsert, kafka_files,
-        engine_run_tables, engine_quality_results, engine_lineage_edges, engine_resume, yaml_merge_intervals, yaml_exactly_once, yaml_hierarchy, yaml_schema_changes, yaml_rolling_totals, yaml_tumbling,
+        engine_run_tables, engine_quality_results, engine_lineage_edges, engine_resume, yaml_merge_intervals, yaml_exactly_once, yaml_hierarchy, hierarchy_intervals, yaml_schema_changes, yaml_rolling_totals, yaml_tumbling,
         join_theta, join_self, join_cross, join_range_wide, join_asof_chunks,
     )
 }
@@ -313,6 +323,7 @@ _PAIRS = "d AS (SELECT o_orderkey AS number, c_name AS who, o_totalprice * 2 AS
 
 
 def _oracle() -> dict[str, str]:
+    from tidegate.queries.problems import _LINKS
     from tidegate.queries.problems import ORACLE as P
 
     return {
@@ -334,6 +345,9 @@ def _oracle() -> dict[str, str]:
             ('dear', 'number', 'out', 'number', 'SINK'), ('dear', 'who', 'out', 'who', 'SINK'), ('dear', 'twice', 'out', 'twice', 'SINK')) AS t(source, field, target, target_field, kind)""",
         "engine_resume": f"WITH {_PAIRS} SELECT *, 'orders,buyers,pair,keep' AS skipped FROM k",
         "yaml_merge_intervals": P["p1_found"], "yaml_exactly_once": P["p4_messages"], "yaml_hierarchy": P["p5_found"], "yaml_schema_changes": P["p3_found"],
+        "hierarchy_intervals": f"""WITH RECURSIVE {_LINKS}, f AS (SELECT * FROM l WHERE c NOT IN (SELECT v FROM y)),
+            a(n, up) AS (SELECT c, p FROM f UNION ALL SELECT a.n, f.p FROM a JOIN f ON a.up = f.c)
+            SELECT ids.id AS node_id, count(a.n) AS n, coalesce(sum(a.n), 0)::BIGINT AS ids FROM ids LEFT JOIN a ON a.up = ids.id GROUP BY ids.id""",
         "yaml_rolling_totals": """WITH d AS (SELECT o_custkey, o_orderdate::DATE AS day, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders GROUP BY 1, 2),
             c AS (SELECT o_custkey, max(day) AS last FROM d GROUP BY 1), w AS (SELECT unnest([7, 30])::BIGINT AS window_days),
             x AS (SELECT d.*, window_days, unnest(generate_series(0, window_days - 1)) AS k FROM d, w)

@@ -170,7 +170,7 @@ def quality_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return violations(_quality_input(spark, sf_dir), QUALITY_RULES, ["o_orderkey"], AS_OF).select("o_orderkey", "field", "rule")
+    return violations(_quality_input(spark, sf_dir), QUALITY_RULES, ["o_orderkey"], AS_OF).select("o_orderkey", "field", "rule", "reason")
 
 
 def quality_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +414,7 @@ ORACLE = {
     "quality_regex": f"WITH {_Q} SELECT count(*) AS total, count(CASE WHEN f3 THEN 1 END) AS failed FROM x",
     "quality_freshness": f"WITH {_Q} SELECT count(*) AS total, count(CASE WHEN f4 THEN 1 END) AS failed FROM x",
     "quality_report_summary": f"WITH {_Q}, {_V}, c AS (SELECT field, rule, count(*) AS total, count(CASE WHEN bad THEN 1 END) AS failed FROM v GROUP BY field, rule) SELECT field, rule, total - failed AS passed, failed, round((total - failed) / total::DOUBLE, 6) AS pass_rate, (total - failed) / total::DOUBLE >= 0.95 AS meets_threshold FROM c",
-    "quality_violations": f"WITH {_Q}, {_V} SELECT o_orderkey, field, rule FROM v WHERE bad",
+    "quality_violations": f"WITH {_Q}, {_V} SELECT o_orderkey, field, rule, CASE rule WHEN 'NOT_NULL' THEN 'null or blank' WHEN 'RANGE' THEN 'not a number from 2000 to 400000' WHEN 'REGEX' THEN 'does not match [FO]' ELSE 'older than 8760 hours or no time' END AS reason FROM v WHERE bad",
     "quality_unique": "SELECT coalesce(sum(n), 0)::BIGINT AS failed FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)",
     "quality_referential": f"SELECT count(*) AS failed FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM {_C})",
     "quality_distribution": "SELECT round(sum((a - e) * ln(a / e)), 8) AS psi FROM (SELECT count(*) / (SELECT count(*) FROM orders)::DOUBLE AS a, CASE o_orderstatus WHEN 'F' THEN 0.5 WHEN 'O' THEN 0.4 WHEN 'P' THEN 0.1 ELSE 0.0001 END::DOUBLE AS e FROM orders GROUP BY o_orderstatus)",

@@ -50,6 +50,11 @@ def p3_unified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified_records(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "lineage_nodes"), table(spark, sf_dir, "pipeline_executions"))
 
 
+def p3_record_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of each dataset are whole, broken or without a run."""
+    return p3_unified_records(spark, sf_dir).groupBy("dataset_name", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactly_once(table(spark, sf_dir, "kafka_orders"), ["topic", "_kafka_partition", "_kafka_offset"], F.unix_date(F.col("polled_at").cast("date")), ["polled_at", "batch_id"])
 
@@ -143,7 +148,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_totals(runs, "pipeline_id", "day", ["runs"], WINDOWS).filter("runs = 0").select("pipeline_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "window_days")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_busy_share, p3_found, p3_unified_records, p4_found, p4_messages, p4_batches, p5_found, p5_hierarchy, p5_paths, p6_found, p6_rolling_totals, p6_rolling_averages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_busy_share, p3_found, p3_unified_records, p3_record_status, p4_found, p4_messages, p4_batches, p5_found, p5_hierarchy, p5_paths, p6_found, p6_rolling_totals, p6_rolling_averages)}
 
 _ISLANDS = """
 i AS (SELECT DISTINCT execution_id, epoch_us(started_at) a, epoch_us(finished_at) b FROM step_executions WHERE finished_at > started_at),
@@ -192,6 +197,9 @@ ORACLE = {
         UNION ALL SELECT d, e, 'removed', n, '' FROM gone WHERE (d, e, n) NOT IN (SELECT (d, e, a) FROM r)
         UNION ALL SELECT d, e, 'added', '', n FROM come WHERE (d, e, n) NOT IN (SELECT (d, e, b) FROM r)
         UNION ALL SELECT d, e, 'type_changed', n, n FROM o JOIN w USING (d, e, n) WHERE o.k <> w.k""",
+    "p3_record_status": """WITH st AS (SELECT DISTINCT id FROM pipeline_executions WHERE started_at IS NOT NULL)
+        SELECT lower(trim(dataset_name)) AS dataset_name, CASE WHEN payload IS NULL OR NOT json_valid(payload) OR json_type(CASE WHEN json_valid(payload) THEN payload END) <> 'OBJECT' THEN 'broken'
+        WHEN execution_id NOT IN (SELECT id FROM st) OR execution_id IS NULL THEN 'no_run' ELSE 'whole' END AS status, count(*) AS n FROM raw_records GROUP BY 1, 2""",
     "p5_found": f"""WITH RECURSIVE {_LINKS}
         SELECT n AS node_id, r AS root_id, d AS depth, 'tree' AS status FROM t
         UNION ALL SELECT n, r, d, CASE WHEN d = 0 THEN 'cycle' ELSE 'below_cycle' END FROM b""",
