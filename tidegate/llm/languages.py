@@ -150,7 +150,10 @@ class ByteNet:
 
 def _noise(rng: np.random.Generator, n: int) -> list[str]:
     """Words of no language: digits, single letters, markup, symbols' names, random letters."""
-    markup = "sub sup img id eq alt gt lt br td tr div span href src amp nbsp frac begin end array cc sum int alpha beta delta lambda sqrt cdot times left right".split()
+    markup = [
+        "sub", "sup", "img", "id", "eq", "alt", "gt", "lt", "br", "td", "tr", "div", "span", "href", "src", "amp", "nbsp", "frac", "begin", "end", "array", "cc", "sum", "int", "alpha", "beta", "delta",
+        "lambda", "sqrt", "cdot", "times", "left", "right",
+    ]
     letters = list("abcdefghijklmnopqrstuvwxyzαβγδεηλμπρσφωîïãâðñ½²³")
     out: list[str] = []
     # Kinds come in stretches, some of them long enough to fill windows.
@@ -181,6 +184,7 @@ def train(clean: list[tuple[str, str]], labelled: list[tuple[str, str]], steps:
     pools = {k: (np.concatenate(v), np.repeat(np.cumsum([len(x) for x in v]), [len(x) for x in v])) for k, v in texts.items()}
     noise = numbers.of(_noise(rng, 20_000))
     vocabulary = list(numbers)
+    # Training reads the first ROOM bytes of a word; longer words are rare and are read whole afterwards.
     pieces = [_bytes(w)[0] for w in vocabulary]
     matrix, length = _matrix(pieces)
     size = 2 * BLOCK
@@ -325,16 +329,15 @@ class Reader:
         logs = np.log(p + FLOOR)
         before = np.roll(logs, 1, 0)
         score = np.where(first[:, None], logs, np.where(last[:, None], before, (logs + before) / 2))
-        best = score.argmax(1)
         out = []
         for end, b, n in zip(ends, blocks, counts):
             if not b:
                 out.append([])
                 continue
-            mine, sc = best[end - b : end], score[end - b : end]
+            sc = score[end - b : end]
             main = int(sc.sum(0).argmax())
-            other = mine != main
-            if b > 3 and other.sum() >= 3 and _gain(sc, main) >= 1.5 * CHANGE:
+            # A path of k runs changes k - 1 times or more, so if any is better than ``main`` throughout, one of its runs gains half a change.
+            if b > 1 and 2 * _gain(sc, main) >= CHANGE:
                 path = viterbi(sc)
                 edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b]
             else:

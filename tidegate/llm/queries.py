@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm import languages, leakage, mixture, percentiles
@@ -12,42 +12,52 @@ from tidegate.session import table
 ERROR, POINTS = 0.01, [0.5, 0.9, 0.95, 0.99]
 
 
+MEASURES = ("latency_ms", "rows_written")
+#: Stands for the day of rows that never began.
+NO_DAY = -(2**31)
+
+
 def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches of latency_ms and rows_written by step and day, over all rows as delivered."""
-    steps = table(spark, sf_dir, "step_executions").select("step_id", F.date_format("started_at", "yyyy-MM-dd").alias("day"), "latency_ms", "rows_written")
-    both = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("latency_ms", "rows_written")]))
+    """Sketches of latency_ms and rows_written by step and day, over all rows as delivered.
+
+    Days and measures are numbers until the end, which makes the rows that are shuffled short.
+    """
+    steps = table(spark, sf_dir, "step_executions").select("step_id", F.coalesce(F.unix_date(F.col("started_at").cast("date")), F.lit(NO_DAY)).alias("day"), *MEASURES)
+    both = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("measure"), F.col(m).alias("value")) for i, m in enumerate(MEASURES)]))
     long = steps.select("step_id", "day", both.alias("m")).select("step_id", "day", "m.measure", "m.value")
     return percentiles.sketch(long, ["step_id", "day", "measure"], "value", ERROR)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select([F.round(c, 2).alias(c) if c[0] == "p" and c[1:].isdigit() else c for c in df.columns])
+def _named(df: DataFrame, no_day: str | None = None) -> DataFrame:
+    """Days and measures as text, percentiles rounded. A null day stays null."""
+    columns = {"measure": F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure").cast("int") + 1)}
+    if "day" in df.columns:
+        columns["day"] = F.when(F.col("day") == NO_DAY, F.lit(no_day)).otherwise(F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd"))
+    return df.withColumns(columns | {c: F.round(c, 2) for c in df.columns if c[0] == "p" and c[1:].isdigit()})
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by step and day, and over all days (null day) from the merged sketches of the days."""
     days = _sketches(spark, sf_dir)
-    whole = percentiles.merge(days, ["step_id", "measure"]).select("step_id", F.lit(None).cast("string").alias("day"), "measure", "sign", "index", "n")
-    # A null day of the rows themselves (steps that never began) is named, so that it stays apart from the sum.
-    dated = days.withColumn("day", F.coalesce("day", F.lit("none")))
-    groups = ["step_id", "day", "measure"]
-    return _rounded(percentiles.percentiles(dated.unionByName(whole), groups, POINTS, ERROR))
+    whole = percentiles.merge(days, ["step_id", "measure"]).select("step_id", F.lit(None).cast("int").alias("day"), "measure", "sign", "index", "n")
+    # The day of steps that never began has a name, so that it stays apart from the sum.
+    return _named(percentiles.percentiles(days.unionByName(whole), ["step_id", "day", "measure"], POINTS, ERROR), "none")
 
 
 def p2_step_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by step, merged from the sketches of the days."""
     days = _sketches(spark, sf_dir)
-    return _rounded(percentiles.percentiles(percentiles.merge(days, ["step_id", "measure"]), ["step_id", "measure"], POINTS, ERROR))
+    return _named(percentiles.percentiles(percentiles.merge(days, ["step_id", "measure"]), ["step_id", "measure"], POINTS, ERROR))
 
 
 def p2_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by step and day."""
-    return _rounded(percentiles.percentiles(_sketches(spark, sf_dir), ["step_id", "day", "measure"], POINTS, ERROR))
+    return _named(percentiles.percentiles(_sketches(spark, sf_dir), ["step_id", "day", "measure"], POINTS, ERROR))
 
 
 def p2_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mergeable form itself: counts by step, day, measure and bucket."""
-    return _sketches(spark, sf_dir)
+    return _named(_sketches(spark, sf_dir))
 
 
 #: The rank file of a public byte-level tokenizer.
@@ -75,6 +85,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p8_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target source: its documents, whether each use is one and within the cap, and whether its tokens are its share to within two records."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    mixture_, report = _mixture(spark, sf_dir)
+    uses = mixture_.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("repeat_no").alias("last"), F.max("tokens").alias("tokens"))
+    uses = uses.groupBy("source").agg(F.max("n").alias("most"), F.min(F.col("n") == F.col("last")).alias("single"), F.max("tokens").alias("largest"))
+    total = Window.partitionBy()  # a row per source
+    checked = report.join(uses, "source", "left").withColumn("room", 2 * F.max("largest").over(total)).withColumn("off", F.abs(F.col("tokens") - F.col("scaled_share") * F.sum("tokens").over(total)))
+    there = documents.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    return targets.select("source").join(there, "source", "left").join(checked, "source", "left").select(
+        "source", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("within_cap"),
+        F.coalesce("single", F.lit(True)).alias("single"), F.coalesce(F.col("off") <= F.col("room"), F.lit(True)).alias("near"),
+    )
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     net = languages.trained(*languages.training_pairs(documents, [table(spark, sf_dir, "lang_samples")]))
@@ -101,7 +126,7 @@ def p7_leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_step_percentiles, p2_daily_percentiles, p2_daily_sketches, p7_found, p7_leak_report, p8_mixture, p8_records, p8_shares, p9_found, p9_passages)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_step_percentiles, p2_daily_percentiles, p2_daily_sketches, p7_found, p7_leak_report, p8_mixture, p8_records, p8_shares, p8_sound, p9_found, p9_passages)}
 
 _G = (1 + ERROR) / (1 - ERROR)
 _BUCKETS = f"""
@@ -119,6 +144,7 @@ def _percentile_sql(groups: str, day: str = "day") -> str:
 
 ORACLE = {
     "p2_percentiles": f"""{_percentile_sql("step_id, day, measure", "coalesce(day, 'none') AS day")} UNION ALL BY NAME SELECT *, NULL::VARCHAR AS day FROM ({_percentile_sql("step_id, measure")})""",
+    "p8_sound": "SELECT t.source, count(d.doc_id) AS documents, true AS within_cap, true AS single, true AS near FROM mix_targets t LEFT JOIN documents d USING (source) GROUP BY t.source",
     "p2_step_percentiles": _percentile_sql("step_id, measure"),
     "p2_daily_percentiles": _percentile_sql("step_id, day, measure"),
     "p2_daily_sketches": f"WITH {_BUCKETS} SELECT step_id, day, measure, sign, index, count(*) AS n FROM b GROUP BY ALL",
