@@ -9,7 +9,8 @@ Each word stands between blanks, and no filter reaches over them into the next w
 over a window is the maximum over its words, and each different word is convolved only once.
 
 Windows overlap by half. Their evidence goes through a Viterbi pass over blocks of words, which
-finds passages: runs of one language, of at least ``MIN_PASSAGE`` words.
+finds passages: runs of one language, of at least ``MIN_PASSAGE`` words. A text in which no run of another
+language gains ``MIXED`` changes over the text's own is in one language.
 
 Defined results:
 * null or wordless texts and texts without language get ``und`` with confidence 0;
@@ -45,6 +46,8 @@ TRAIN_DOCS, TRAIN_SAMPLES = 2_500, 10_000
 STEPS, BATCH, RATE = 300, 256, 0.01
 #: Evidence of one window is bounded by this floor; a change of language costs CHANGE.
 FLOOR, CHANGE = 0.02, 5.0
+#: A text holds a second language only if some run of it gains so many changes over the text's own, with 3 blocks or more.
+MIXED = 1.5
 #: A run whose confidence is lower is no passage: it says less than chance and noise explain.
 MIN_CONFIDENCE = 0.5
 #: A text whose confidence is lower has no language.
@@ -195,7 +198,7 @@ def train(clean: list[tuple[str, str]], labelled: list[tuple[str, str]], steps:
     for step in range(steps):
         rows, target, trusted = np.empty((BATCH, size), np.int64), np.empty(BATCH, np.int64), np.zeros(BATCH, bool)
         for b in range(BATCH):
-            c = b % len(net.classes)
+            c = min(b % (len(net.classes) + 1), len(langs))  # no language has two shares, since it has many faces
             if c == len(langs):
                 i = rng.integers(0, len(noise) - size)
                 rows[b], trusted[b] = noise[i : i + size], True
@@ -329,15 +332,16 @@ class Reader:
         logs = np.log(p + FLOOR)
         before = np.roll(logs, 1, 0)
         score = np.where(first[:, None], logs, np.where(last[:, None], before, (logs + before) / 2))
+        best = score.argmax(1)
         out = []
         for end, b, n in zip(ends, blocks, counts):
             if not b:
                 out.append([])
                 continue
-            sc = score[end - b : end]
+            mine, sc = best[end - b : end], score[end - b : end]
             main = int(sc.sum(0).argmax())
-            # A path of k runs changes k - 1 times or more, so if any is better than ``main`` throughout, one of its runs gains half a change.
-            if b > 1 and 2 * _gain(sc, main) >= CHANGE:
+            # A text is mixed only if some run says clearly more for another language: formulas at an end of it do not.
+            if b > 3 and (mine != main).sum() >= 3 and _gain(sc, main) >= MIXED * CHANGE:
                 path = viterbi(sc)
                 edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b]
             else:
