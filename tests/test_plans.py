@@ -66,7 +66,7 @@ def test_levels_of_the_demo():
     dag = build_dag(parse_pipeline(DEMO))
     assert dag.roots == ["readings-in", "meters-in"]
     assert [len(x) for x in dag.levels()] == [2, 1, 1, 2]
-    assert dag.order()[2:4] == ["join", "filter"]
+    assert dag.order()[2:4] == ["place", "sieve"]
 
 
 def test_small_graphs():
@@ -126,7 +126,7 @@ def test_step_states():
 
 def test_drift(spark):
     before = [("order_id", "LONG"), ("meter", "INTEGER"), ("old", "STRING")]
-    after = spark.createDataFrame([], "order_id bigint, customer_id string, discount double")
+    after = spark.createDataFrame([], "order_id bigint, meter string, discount double")
     said = drift(before, fields_of(after.schema))
     assert [s.split(":")[0] for s in said] == ["new field", "removed field", "type changed"]
     assert "discount" in said[0] and "old" in said[1] and "INTEGER" in said[2] and "STRING" in said[2]
