@@ -31,9 +31,10 @@ def hot_bounds(df: DataFrame, key: str, order: str, target: int = TARGET_ROWS) -
     Bounds are approximate quantiles, so chunks hold about ``target`` rows, however many the key has. Rows of
     one and the same order stay together.
     """
-    keys, hot = cut_and_count(df.groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > target), "n > 0")
-    if not hot:
+    counts = df.groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > target)
+    if counts.isEmpty():
         return None
+    keys, hot = cut_and_count(counts, "n > 0")
     # All keys are measured on the finest grid that one needs; each takes as many of its points as it has chunks.
     grid = keys.agg(F.ceil(F.max("n") / target)).first()[0]
     marks = [i / grid for i in range(1, grid)]
