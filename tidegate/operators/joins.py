@@ -130,8 +130,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     w = Window.partitionBy(*keys).orderBy("__tg_t", "__tg_side", "__tg_r").rowsBetween(Window.unboundedPreceding, 0)
     last = rows.withColumn("__tg_last", F.last("__tg_r", ignorenulls=True).over(w)).filter("__tg_side = 1")
     if bounds is not None:
-        ends = rows.filter("__tg_side = 0").groupBy(*keys).agg(F.max_by("__tg_r", F.struct("__tg_t", "__tg_r")).alias("__tg_end"))
-        chunks = rows.select(*keys).distinct().join(ends, [rows[k].eqNullSafe(ends[k]) for k in keys], "left").select(*[rows[k] for k in keys], "__tg_end")
+        # Every chunk with its last right row; chunks without one get null, as max_by leaves rows without an order out.
+        chunks = rows.groupBy(*keys).agg(F.max_by("__tg_r", F.when(F.col("__tg_side") == 0, F.struct("__tg_t", "__tg_r"))).alias("__tg_end"))
         before = Window.partitionBy("__tg_key").orderBy("__tg_chunk").rowsBetween(Window.unboundedPreceding, -1)
         carried = chunks.select(F.col("__tg_key").alias("__tg_key2"), F.col("__tg_chunk").alias("__tg_chunk2"), F.last("__tg_end", ignorenulls=True).over(before).alias("__tg_carried")).filter("__tg_carried is not null")
         met = F.col("__tg_key").eqNullSafe(F.col("__tg_key2")) & (F.col("__tg_chunk") == F.col("__tg_chunk2")) & F.col("__tg_t").isNotNull()

@@ -307,7 +307,7 @@ def join_asof_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.lit(1).alias("k"))
     buys, views = events.filter("event_type = 'purchase'"), events.filter("event_type = 'view'").select("k", F.col("ts").alias("seen"))
-    return asof_join(buys, views, ["k"], "ts", "seen", target_rows=500).select("event_id", "ts", "right_seen")
+    return asof_join(buys, views, ["k"], "ts", "seen", target_rows=50).select("event_id", "ts", "right_seen")
 
 
 QUERIES = {
