@@ -2,7 +2,7 @@ import random
 import re
 import unicodedata
 
-from tidegate.llm.leakage import capitals, item_names, leak_report, leaks, tokens
+from tidegate.llm.leakage import capitals, item_names, leak_report, leaks, tokens, window_matches
 from tidegate.llm.words import folded_words
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id string, h int", "item_id bigint, text string, doc_id string, lang string"
@@ -77,6 +77,37 @@ def test_nulls_empty_texts_repeats_and_empty_tables(spark):
     assert found(spark, [(1, "a")], []) == set()
 
 
+def test_verbatim_windows_are_templates_whose_slots_stand_for_themselves(spark, monkeypatch):
+    from tidegate.llm import leakage
+
+    met = []
+    monkeypatch.setattr(leakage, "window_matches", lambda *a: met.append(window_matches(*a)) or met[-1])
+    item = "The lower vessel of Newton holds 739 ml while the sealed shutter moves by 66 turns and stops"
+    other = item.replace("739 ml", "12 bar").replace("66", "5")
+    docs = [(1, f"So: {item}"), (2, other), (3, other.replace("sealed", "broken"))]
+    items = [(7, item), (8, "He met Newton")]
+    assert found(spark, docs, items) == brute(docs, items) == {(1, 7)}
+    rows = met[0].filter("item_id = 7").collect()
+    assert {r["doc_id"] for r in rows} == {1, 2}
+    slots = {d: {(s["value"], s["doc_value"]) for r in rows if r["doc_id"] == d for s in r["slots"]} for d in (1, 2)}
+    assert slots[1] == {("newton", "newton"), ("739", "739"), ("ml", "ml"), ("66", "66")}
+    assert slots[2] == {("newton", "newton"), ("739", "12"), ("ml", "bar"), ("66", "5")}
+
+
+def test_templates_lose_no_verbatim_window(spark):
+    ws = "a clerk of Kepler counts twelve wheels on every bench and stops then"
+    table = " ".join(str(i * 7) for i in range(30))
+    docs = [
+        (1, f"so 5 {ws}"), (2, ws.upper()), (3, f"x {table} y"), (4, table.replace("49", "50").replace("105", "106")), (5, "9 mm"), (6, "mm 9"), (7, "8 mm"),
+        (8, ws.replace("Kepler", "Euler")), (9, "of Mm 5. Then 3 mm Kepler"),
+    ]
+    items = [(1, ws), (2, table), (3, "mm"), (4, "9 mm"), (5, "Of Kepler 7 bar"), (6, "kg"), (6, "7"), (6, "Then 3 mm"), (6, "Then 4 mm")]
+    want = brute(docs, items)
+    assert found(spark, docs, items) == want and {(1, 1), (2, 1), (3, 2), (9, 6)} <= want
+    turned = [(9, "Then 3 mm"), (9, "Then 4 mm"), (9, "Then 5 mm")]  # one id, one template, three texts
+    assert all(found(spark, [(1, f"so then {n} mm")], turned) == {(1, 9)} for n in (3, 4, 5))
+
+
 def test_very_long_text(spark):
     needle = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
     assert found(spark, [(1, "x y " * 200_000 + needle)], [(1, needle)]) == {(1, 1)}

@@ -1,14 +1,18 @@
 """Evaluation texts inside training documents, verbatim or with other parameters.
 
-Texts are read twice. For verbatim occurrences they become words (see ``words.folded_words``). For
-re-parameterised questions they become tokens: words, but a number with its decimal and thousands
-marks is one; numbers, units and names among them are typed placeholders, so that the tokens are
-a template. Windows of ``WINDOW`` words, and of as many tokens, are hashed; document windows are
-screened by the hashes of the items' windows and hash-joined with them. Windows of one template
-that follow each other without a gap in both texts are one occurrence, and its slots are compared:
-if each value of the item, also one that was kept, stands for the same value throughout the
-occurrence, it is a re-parameterised question. (Two values of the item may become equal: 3 and 5
-apples may be 4 and 4 in a variant.)
+Numbers, units and names are typed placeholders, so that a text is a template. Windows of ``WINDOW``
+places of it are hashed; document windows are screened by the hashes of the items' windows and
+hash-joined with them, and the slots of those that meet are compared.
+
+``leaks`` looks for verbatim occurrences. Places are words there (see ``words.folded_words``), the
+template of a window follows from its own words alone, and each slot has to stand for itself.
+
+``leak_report`` looks for re-parameterised questions too. Places are tokens there: words, but a
+number with its decimal and thousands marks is one. Windows of one template that follow each other
+without a gap in both texts are one occurrence: if each value of the item, also one that was kept,
+stands for the same value throughout it, it is a re-parameterised question. (Two values of the item
+may become equal: 3 and 5 apples may be 4 and 4 in a variant.) Its verbatim occurrences are windows
+of words without placeholders, since 13 words can be fewer tokens.
 
 An item shorter than a window is one window of its own length.
 
@@ -22,7 +26,7 @@ Defined results:
   that the items use as a plain word is read both ways, but within one window all of them alike;
 * a unit is one of ``UNITS`` right behind a number; elsewhere the same letters are a word;
 * a window of tokens of which less than a third are words says nothing and is none: else tables of
-  numbers would all be alike;
+  numbers would all be alike. In ``leaks`` such a window has no placeholders;
 * empty tables give empty results; extra columns are ignored.
 
 The screen is a bit table with SCREEN_BITS bits for each item window, of 32 MB at most (with more item windows
@@ -37,7 +41,8 @@ import math
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from itertools import zip_longest
 
 import numpy as np
@@ -113,7 +118,7 @@ def capitals(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 #: How a text is read for each kind of window.
-READERS = {"verbatim": folded_words, "template": tokens}
+READERS = {"verbatim": folded_words, "typed": folded_words, "template": tokens}
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -127,6 +132,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _sums(part: Callable[[int], np.ndarray], length: int) -> np.ndarray:
+    """The hash of windows from the hashes of their first, second and further words."""
+    out = part(0).copy()
+    for k in range(1, length):
+        out *= _BASE
+        out += part(k)
+    return _mixed(out)
+
+
 def _hash(word: str) -> int:
     """A 64-bit hash that is the same in every process."""
     h = 0xCBF29CE484222325
@@ -159,13 +173,8 @@ class Words:
 
     def windows(self, h: np.ndarray, length: int) -> np.ndarray:
         """The hash of each run of ``length`` words that have the hashes ``h``."""
-        if len(h) < length:
-            return np.empty(0, np.uint64)
-        out = np.zeros(len(h) - length + 1, np.uint64)
-        for k in range(length):
-            out *= _BASE
-            out += h[k : len(h) - length + 1 + k]
-        return _mixed(out)
+        n = len(h) - length + 1
+        return _sums(lambda k: h[k : n + k], length) if n > 0 else np.empty(0, np.uint64)
 
 
 #: What a place in a text is beside what its word says.
@@ -214,8 +223,49 @@ class Templates(Words):
         return [MARKS[mark] if mark == UNIT else self.slot(w) or (MARKS[mark] if mark else w) for w, mark in zip_longest(found, marks, fillvalue=0)]
 
 
+class TypedWords(Templates):
+    """Types words by nothing but their window: equal words have equal templates, whatever stands around them.
+
+    A window of which less than a third are plain words has no placeholders.
+    """
+
+    def forget(self) -> None:
+        super().forget()
+        self.literal = np.empty(0, np.uint64)
+
+    def learn(self) -> None:
+        super().learn()
+        if len(self.numbers) > len(self.literal):
+            known = len(self.literal)
+            self.literal = np.concatenate([self.literal, self.hashes[known:]])
+            for i, w in enumerate(list(self.numbers)[known:], known):
+                if self.typed[i]:
+                    self.literal[i] = _hash(w)
+
+    def typed_windows(self, ids: np.ndarray, units: np.ndarray, length: int) -> np.ndarray:
+        """The hash of each window's template; the first word of a window is no unit, since its number is not in it."""
+        n = len(ids) - length + 1
+        if n < 1:
+            return np.empty(0, np.uint64)
+        first, upto = self.typed[ids], np.concatenate([[0], np.cumsum(self.typed[ids] | units)])
+        plain = length - first[:n] - (upto[length:] - upto[1 : n + 1])
+        alone = self.hashes[ids]
+        h = np.where(units, np.uint64(_hash("<unit>")), alone)
+        out = _sums(lambda k: h[k : n + k] if k else alone[:n], length)
+        bare = np.flatnonzero(3 * plain < length)
+        if len(bare):
+            out[bare] = _sums(lambda k: self.literal[ids[bare + k]], length)
+        return out
+
+    def template(self, found: list[str], marks: Iterable[int] = ()) -> list[str]:
+        slots = [self.slot(w) for w in found]
+        out = ["<unit>" if before == "<number>" != own and w in self.units else own or w for w, before, own in zip(found, [None, *slots], slots)]
+        return found if 3 * sum(w[0] != "<" for w in out) < len(out) else out
+
+
 def hashers(kinds: Iterable[str], names: frozenset[str], plain: frozenset[str] = frozenset()) -> dict[str, Words]:
-    return {kind: Templates(names, plain) if kind == "template" else Words() for kind in kinds}
+    made = {"verbatim": Words, "typed": lambda: TypedWords(names), "template": lambda: Templates(names, plain)}
+    return {kind: made[kind]() for kind in kinds}
 
 
 def item_names(items: DataFrame) -> frozenset[str]:
@@ -258,7 +308,7 @@ def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
 
 
 def item_windows(items: DataFrame, names: frozenset[str], kinds: Iterable[str], window: int = WINDOW) -> DataFrame:
-    """The windows of each item: of words (kind ``verbatim``) and of tokens (kind ``template``), with their hash.
+    """The windows of each item: of words (kind ``verbatim``), of words with placeholders (``typed``) and of tokens (``template``), with their hash.
 
     ``at`` counts words or tokens; ``word_from`` to ``word_to`` (not included) are the words that the window takes up.
     """
@@ -278,8 +328,8 @@ def item_windows(items: DataFrame, names: frozenset[str], kinds: Iterable[str],
                     n = min(window, len(ws))
                     ids = t.numbers.of(ws)
                     t.learn()
-                    hashes, marks, _ = next(_readings(t, [ids], [(np.zeros(len(ids), bool), np.zeros(len(ids), bool))]))
-                    for at, h in enumerate(t.windows(hashes, n).view(np.int64).tolist()):
+                    windows, marks, _ = next(_readings(t, [ids], [(np.zeros(len(ids), bool), np.zeros(len(ids), bool))]))
+                    for at, h in enumerate(windows(n).view(np.int64).tolist()):
                         template = t.template(ws[at : at + n], marks[at : at + n].tolist() if marks is not None else ())
                         if kind == "template" and 3 * sum(w[0] != "<" for w in template) < n:
                             continue
@@ -287,31 +337,34 @@ def item_windows(items: DataFrame, names: frozenset[str], kinds: Iterable[str],
                             col.append(v)
             yield _batch(out, _ITEM)
 
-    return items.select("item_id", "text").mapInArrow(run, _ITEM).dropDuplicates(["item_id", "kind", "at", "h", "length"])
+    return items.select("item_id", "text").mapInArrow(run, _ITEM).dropDuplicates(["item_id", "kind", "at", "h", "length", "found"])
 
 
 _DOC = "doc_id bigint, kind string, length int, doc_at int, h bigint, doc_found array<string>, doc_template array<string>"
 
 
-def _readings(t: Words, ids: list[np.ndarray], caps: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
-    """The hashes of joined texts, the marks of their places, and which windows are new: those over a place that is true here.
+def _readings(t: Words, ids: list[np.ndarray], caps: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[Callable[[int], np.ndarray], np.ndarray | None, np.ndarray | None]]:
+    """What gives the hashes of joined texts' windows of a length, the marks of their places, and which windows are new: those over a place that is true here.
 
     Words that the items use too are read as themselves first, then as names.
     """
     joined = np.concatenate(ids)
     h = t.hashes[joined]
     if not isinstance(t, Templates):
-        yield h, None, None
+        yield partial(t.windows, h), None, None
         return
     units = np.concatenate([t.units_of(i) for i in ids])
+    if isinstance(t, TypedWords):
+        yield partial(t.typed_windows, joined, units), None, None
+        return
     own = np.concatenate([t.own_names(i, *c) for i, c in zip(ids, caps)])
     h = np.where(units, np.uint64(_hash("<unit>")), h)
     name = np.uint64(_hash("<name>"))
     both = own & t.known[joined]
     marks = np.where(units, UNIT, np.where(own & ~both, NAME, 0))
-    yield np.where(marks == NAME, name, h), marks, None
+    yield partial(t.windows, np.where(marks == NAME, name, h)), marks, None
     if both.any():
-        yield np.where(own, name, h), np.where(units, UNIT, np.where(own, NAME, 0)), both
+        yield partial(t.windows, np.where(own, name, h)), np.where(units, UNIT, np.where(own, NAME, 0)), both
 
 
 def _is_set(screen: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -346,10 +399,10 @@ def document_windows(documents: DataFrame, names: frozenset[str], plain: frozens
                     t.learn()
                     for lo, hi in portions([len(i) for i in ids], 100_000):
                         ends = np.cumsum([len(i) for i in ids[lo:hi]])
-                        for hashes, marks, fresh in _readings(t, ids[lo:hi], caps[lo:hi]):
+                        for windows, marks, fresh in _readings(t, ids[lo:hi], caps[lo:hi]):
                             upto = np.concatenate([[0], np.cumsum(fresh)]) if fresh is not None else None
                             for n in lengths:
-                                h = t.windows(hashes, n)
+                                h = windows(n)
                                 hits = np.flatnonzero(_is_set(screen, (h >> shift).astype(np.int64)))
                                 hits = hits[_is_set(screen, (h[hits] & low).astype(np.int64)) > 0]
                                 if upto is not None:
@@ -395,26 +448,27 @@ def _screens(wanted: DataFrame, kinds: Iterable[str], bits: int) -> dict[str, tu
 
 
 def window_matches(documents: DataFrame, items: DataFrame, kinds: Iterable[str], window: int = WINDOW) -> DataFrame:
-    """Pairs of windows with the same words (kind ``verbatim``) or the same template: doc_id, item_id, item_words, kind, length, at, word_from, word_to, doc_at, slots.
+    """Pairs of windows with the same words (kind ``verbatim``) or the same template (``typed``, ``template``): doc_id, item_id, item_words, kind, length, at, word_from, word_to, doc_at, slots.
 
     ``slots`` are the values of the placeholders in the item and in the document. Words and templates
     are compared too, so equal hashes of different ones are left out.
     """
-    names = item_names(items) if "template" in kinds else frozenset()
+    names = item_names(items) if set(kinds) - {"verbatim"} else frozenset()
     wanted, n = cut_and_count(item_windows(items, names, kinds, window), "true")
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(SCREEN_BITS * max(1, n)))))
     sought = _screens(wanted, kinds, bits)
     plain = plain_words(wanted) if "template" in kinds else frozenset()
     met = document_windows(documents, names, plain, sought, bits)
-    equal = (F.col("template") == F.col("doc_template")) & ((F.col("kind") == "template") | (F.col("found") == F.col("doc_found")))
+    equal = (F.col("template") == F.col("doc_template")) & ((F.col("kind") != "verbatim") | (F.col("found") == F.col("doc_found")))
     typed = F.filter(F.arrays_zip("template", "found", "doc_found"), lambda p: p["template"].startswith("<"))
     slots = F.transform(typed, lambda p: F.struct(p["found"].alias("value"), p["doc_found"].alias("doc_value")))
     return met.join(wanted, ["kind", "h", "length"]).filter(equal).withColumn("slots", slots).drop("h", "template", "doc_template", "found", "doc_found")
 
 
 def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id): documents that hold a window of an item word for word."""
-    return window_matches(documents, items, ["verbatim"], window).select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): documents that hold a window of an item word for word: its template with each slot standing for itself."""
+    same = F.forall("slots", lambda s: s["value"] == s["doc_value"])
+    return window_matches(documents, items, ["typed"], window).filter(same).select("doc_id", "item_id").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
