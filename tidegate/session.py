@@ -48,13 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     found = found or sc.getCheckpointDir()
     if not found:
-        if sc.master.partition("[")[0] != "local":
+        if not one_process(spark):
             raise TidegateError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tidegate-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def passing_dir(spark: SparkSession) -> str:
+    """A new folder for tables that only this run reads; it is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/tidegate-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def one_process(spark: SparkSession) -> bool:
+    """Whether the tasks run within the driver's own process."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a table with fewer partitions than cores out to all cores; larger ones stay as they are.
 
@@ -76,11 +88,10 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_and_count(df: DataFrame, which: str | None) -> tuple[DataFrame, int]:
     """``cut``, and how many of the rows satisfy the SQL condition ``which``, counted as they are written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidegate-{uuid.uuid4().hex}"
+    path = passing_dir(spark)
     seen = Observation()
     counted = df if which is None else df.observe(seen, F.count_if(F.expr(which)).alias("n"))
     counted.write.option("compression", "lz4").parquet(path)
-    _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._tidegate_path = path
     return back, 0 if which is None else int(seen.get["n"])

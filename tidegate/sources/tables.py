@@ -6,15 +6,22 @@ import logging
 import re
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.errors import ConnectorError
+from tidegate.session import cut, drop, one_process, passing_dir
 from tidegate.sources.base import BaseConnector, Config, Health, ReadContext, WriteResult, counted
 
 log = logging.getLogger("tidegate")
 
+#: Databases that live within the process that opens them, so that no two processes may share one.
+EMBEDDED = re.compile(r"jdbc:(derby:(?!//)|h2:(?!tcp:|ssl:)|hsqldb:(mem|file|res):|sqlite:|duckdb:)", re.IGNORECASE)
+#: Rows that the driver holds at once between an embedded database and the cluster; as many are one transaction.
+PASSED_ROWS = 50_000
+
 
 class SqlConnector(BaseConnector):
     """A query with named parameters, or a table with columns, over the session's tables and views."""
@@ -59,7 +66,11 @@ def bind(query: str, params: dict) -> str:
 
 class JdbcConnector(BaseConnector):
     """Reads a query or a table (in parallel with partitionColumn, lowerBound, upperBound, numPartitions);
-    writes with INSERT, TRUNCATE_INSERT or UPSERT on ``key``."""
+    writes with INSERT, TRUNCATE_INSERT or UPSERT on ``key``.
+
+    On a cluster an embedded database is the driver's: executors would each open one of their own. Its rows pass
+    through the driver, some at a time; what is read is stored in the shared folder when ``read`` is called.
+    """
 
     def __init__(self, kind: str = "jdbc", defaults: dict | None = None):
         self.type, self.defaults = kind, defaults or {}
@@ -73,12 +84,10 @@ class JdbcConnector(BaseConnector):
         return found
 
     def read(self, ctx: ReadContext, config: Config) -> DataFrame:
-        reader = ctx.spark.read.format("jdbc").options(**self._options(config))
+        options = self._options(config)
         if query := config.text("query"):
-            return reader.option("query", bind(query, {**ctx.params, **(config.get("params") or {})})).load()
-        df = reader.option("dbtable", config.need("table")).load()
-        columns = config.names("columns")
-        return df.select(*columns) if columns else df
+            return self._load(ctx, options | {"query": bind(query, {**ctx.params, **(config.get("params") or {})})})
+        return self._load(ctx, options | {"dbtable": config.need("table")}, config.names("columns"))
 
     def write(self, ctx: ReadContext, df: DataFrame, config: Config) -> WriteResult:
         began, name, mode = time.perf_counter(), config.need("table"), config.text("mode", "INSERT").upper()
@@ -86,7 +95,7 @@ class JdbcConnector(BaseConnector):
 
         def put(d: DataFrame) -> None:
             if mode == "INSERT":
-                d.write.format("jdbc").mode("append").options(**options).save()
+                self._save(ctx, d, "append", options)
             elif mode == "TRUNCATE_INSERT":
                 d.write.format("jdbc").mode("overwrite").option("truncate", True).options(**options).save()
             elif mode == "UPSERT":
@@ -116,6 +125,87 @@ class JdbcConnector(BaseConnector):
             except Exception as e:  # it may never have come to be
                 log.debug("side table %s: %s", side, e)
 
+    @staticmethod
+    def _apart(ctx: ReadContext, options: dict[str, str]) -> bool:
+        """Whether the executors cannot see the database that the driver sees."""
+        return bool(EMBEDDED.match(options["url"])) and not one_process(ctx.spark)
+
+    def _load(self, ctx: ReadContext, options: dict[str, str], columns: list[str] | None = None) -> DataFrame:
+        df = ctx.spark.read.format("jdbc").options(**options).load()
+        df = df.select(*columns) if columns else df
+        return self._fetch(ctx, df, options) if self._apart(ctx, options) else df
+
+    def _fetch(self, ctx: ReadContext, df: DataFrame, options: dict[str, str]) -> DataFrame:
+        """The rows of ``df`` read on one connection of the driver, as Parquet in the shared folder."""
+        jvm, session, schema = ctx.spark.sparkContext._jvm, ctx.spark._jsparkSession, df._jdf.schema()
+        settings, dialect = self._settings(ctx, options)
+        path, list_of = passing_dir(ctx.spark), jvm.scala.collection.JavaConverters.seqAsJavaList
+        store = lambda rows: DataFrame(session.createDataFrame(rows, schema), ctx.spark).coalesce(1).write.mode("append").parquet(path)
+        connection = self._connection(ctx, options)
+        try:
+            connection.setAutoCommit(False)
+            statement = connection.createStatement()
+            statement.setFetchSize(int(options.get("fetchsize", 0)))
+            names = ", ".join(dialect.quoteIdentifier(c) for c in df.columns)
+            found = statement.executeQuery(f"SELECT {names} FROM {settings.tableOrQuery()}")
+            rows = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.resultSetToRows(found, schema, dialect).grouped(PASSED_ROWS)
+            store(jvm.java.util.ArrayList())  # so that there is a table even without rows
+            while rows.hasNext():
+                store(list_of(rows.next()))
+            connection.commit()
+        finally:
+            connection.close()
+        return ctx.spark.read.schema(df.schema).parquet(path)
+
+    def _save(self, ctx: ReadContext, df: DataFrame, mode: str, options: dict[str, str]) -> None:
+        """Append to the table, or make it anew (``error``, ``overwrite``)."""
+        if not self._apart(ctx, options):
+            df.write.format("jdbc").mode(mode).options(**options).save()
+            return
+        jvm, session = ctx.spark.sparkContext._jvm, ctx.spark._jsparkSession
+        utils, schema = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils, df._jdf.schema()
+        rows = cut(df)  # the executors compute the rows, all before the first is inserted
+        try:
+            # Without rows and partitions Spark makes or empties the table on the driver, and no more.
+            DataFrame(session.createDataFrame(jvm.java.util.ArrayList(), schema), ctx.spark).write.format("jdbc").mode(mode).options(**options).save()
+            settings, dialect = self._settings(ctx, options)
+            connection = self._connection(ctx, options)
+            try:
+                there = utils.getSchemaOption(connection, settings)
+            finally:
+                connection.close()
+            exact = ctx.spark.conf.get("spark.sql.caseSensitive") == "true"
+            insert = utils.getInsertStatement(options["dbtable"], schema, there, exact, dialect)
+            passing = jvm.scala.collection.JavaConverters.asScalaIterator(rows._jdf.toLocalIterator()).grouped(PASSED_ROWS)
+            while passing.hasNext():
+                some = passing.next().iterator()
+                with self._as_task(ctx):
+                    utils.savePartition(options["dbtable"], some, schema, insert, settings.batchSize(), dialect, settings.isolationLevel(), settings)
+        finally:
+            drop(rows)
+
+    @staticmethod
+    @contextmanager
+    def _as_task(ctx: ReadContext):
+        """Spark's writer of a partition wants a task around it, which has its counters and the session's settings."""
+        tasks = getattr(getattr(ctx.spark.sparkContext._jvm.org.apache.spark, "TaskContext$"), "MODULE$")
+        task = tasks.empty()
+        for k, v in ctx.spark.conf.getAll.items():
+            if k.startswith("spark.sql."):
+                task.getLocalProperties().setProperty(k, v)
+        tasks.setTaskContext(task)
+        try:
+            yield
+        finally:
+            tasks.unset()
+
+    @staticmethod
+    def _settings(ctx: ReadContext, options: dict[str, str]) -> tuple:
+        """Spark's own settings of a connection, and the dialect of its database."""
+        jvm = ctx.spark.sparkContext._jvm
+        found = jvm.org.apache.spark.sql.execution.datasources.jdbc.JDBCOptions(jvm.PythonUtils.toScalaMap(options))
+        return found, jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"])
+
     def _connection(self, ctx: ReadContext, options: dict[str, str]):
         """A connection of the driver, with the settings that reading and writing have."""
         jvm = ctx.spark.sparkContext._jvm
