@@ -106,10 +106,10 @@ def drop(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``; other frames are left alone."""
     path = getattr(df, "_tidegate_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        drop_dir(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def drop_dir(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -121,4 +121,4 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
-        _delete(spark, path)
+        drop_dir(spark, path)

@@ -11,8 +11,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate import fs
 from tidegate.errors import ConnectorError
-from tidegate.session import cut, drop, one_process, passing_dir
+from tidegate.session import drop_dir, one_process, passing_dir
 from tidegate.sources.base import BaseConnector, Config, Health, ReadContext, WriteResult, counted
 
 log = logging.getLogger("tidegate")
@@ -97,7 +98,7 @@ class JdbcConnector(BaseConnector):
             if mode == "INSERT":
                 self._save(ctx, d, "append", options)
             elif mode == "TRUNCATE_INSERT":
-                d.write.format("jdbc").mode("overwrite").option("truncate", True).options(**options).save()
+                self._save(ctx, d, "overwrite", options | {"truncate": "true"})
             elif mode == "UPSERT":
                 self._upsert(ctx, d, config, options)
             else:
@@ -164,25 +165,25 @@ class JdbcConnector(BaseConnector):
             return
         jvm, session = ctx.spark.sparkContext._jvm, ctx.spark._jsparkSession
         utils, schema = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils, df._jdf.schema()
-        rows = cut(df)  # the executors compute the rows, all before the first is inserted
+        path = passing_dir(ctx.spark)
+        df.write.option("compression", "lz4").option("maxRecordsPerFile", PASSED_ROWS).parquet(path)  # all rows are there before the first is inserted
+        # Without rows and partitions Spark makes or empties the table on the driver, and no more.
+        DataFrame(session.createDataFrame(jvm.java.util.ArrayList(), schema), ctx.spark).write.format("jdbc").mode(mode).options(**options).save()
+        settings, dialect = self._settings(ctx, options)
+        connection = self._connection(ctx, options)
         try:
-            # Without rows and partitions Spark makes or empties the table on the driver, and no more.
-            DataFrame(session.createDataFrame(jvm.java.util.ArrayList(), schema), ctx.spark).write.format("jdbc").mode(mode).options(**options).save()
-            settings, dialect = self._settings(ctx, options)
-            connection = self._connection(ctx, options)
-            try:
-                there = utils.getSchemaOption(connection, settings)
-            finally:
-                connection.close()
-            exact = ctx.spark.conf.get("spark.sql.caseSensitive") == "true"
-            insert = utils.getInsertStatement(options["dbtable"], schema, there, exact, dialect)
-            passing = jvm.scala.collection.JavaConverters.asScalaIterator(rows._jdf.toLocalIterator()).grouped(PASSED_ROWS)
-            while passing.hasNext():
-                some = passing.next().iterator()
-                with self._as_task(ctx):
-                    utils.savePartition(options["dbtable"], some, schema, insert, settings.batchSize(), dialect, settings.isolationLevel(), settings)
+            there = utils.getSchemaOption(connection, settings)
         finally:
-            drop(rows)
+            connection.close()
+        exact = ctx.spark.conf.get("spark.sql.caseSensitive") == "true"
+        insert = utils.getInsertStatement(options["dbtable"], schema, there, exact, dialect)
+        for part in fs.children(ctx.spark, path):
+            if part.startswith("part-"):
+                rows = ctx.spark.read.schema(df.schema).parquet(f"{path}/{part}")._jdf.collectAsList()
+                passing = jvm.scala.collection.JavaConverters.asScalaIterator(rows.iterator())
+                with self._as_task(ctx):
+                    utils.savePartition(options["dbtable"], passing, schema, insert, settings.batchSize(), dialect, settings.isolationLevel(), settings)
+        drop_dir(ctx.spark, path)
 
     @staticmethod
     @contextmanager
@@ -303,8 +304,6 @@ class KafkaConnector(BaseConnector):
         return WriteResult(counted(df, put), 0, topic, (time.perf_counter() - began) * 1000)
 
     def _append(self, ctx: ReadContext, messages: DataFrame, at: str, partitions: int) -> None:
-        from tidegate import fs
-
         begin: Column = F.lit(0).cast("bigint")
         placed = messages.withColumn("partition", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"))
         number = F.row_number().over(Window.partitionBy("partition").orderBy("key", "value")).cast("bigint") - 1
