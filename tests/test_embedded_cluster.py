@@ -38,6 +38,6 @@ def on_cluster(name: str, tmp_path: Path) -> None:
     assert done.returncode == 0, done.stderr[-3000:]
 
 
-@pytest.mark.parametrize("name", ["jdbc_insert", "jdbc_truncate_insert"])
+@pytest.mark.parametrize("name", ["jdbc_insert", "jdbc_truncate_insert", "jdbc_upsert"])
 def test_matches_sql(name, tmp_path):
     on_cluster(name, tmp_path)

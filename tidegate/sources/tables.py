@@ -118,7 +118,11 @@ class JdbcConnector(BaseConnector):
         columns = ", ".join(f'"{c}"' for c in df.columns)
         same = " AND ".join(f'{side}."{k}" = {target}."{k}"' for k in keys)
         try:
-            last_per_key(df, keys, config.names("orderBy")).write.format("jdbc").mode("error").options(**(options | {"dbtable": side})).save()
+            self._save(ctx, last_per_key(df, keys, config.names("orderBy")), "error", options | {"dbtable": side})
+            try:  # without it some databases read the whole side table for each row of the target
+                self.run(ctx, options, [f"CREATE INDEX {side}_key ON {side} (" + ", ".join(f'"{k}"' for k in keys) + ")"])
+            except Exception as e:  # of types that have no index
+                log.debug("side table %s: %s", side, e)
             self.run(ctx, options, [f"DELETE FROM {target} WHERE EXISTS (SELECT 1 FROM {side} WHERE {same})", f"INSERT INTO {target} ({columns}) SELECT {columns} FROM {side}"])
         finally:
             try:
