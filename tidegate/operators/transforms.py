@@ -15,6 +15,7 @@ from tidegate.operators.drift import schema_changes, unified_records
 from tidegate.operators.hierarchy import hierarchy
 from tidegate.operators.intervals import merge_intervals
 from tidegate.operators.joins import asof_join, lookup_join, range_join, relational_join
+from tidegate.operators.ranges import range_aggregate
 from tidegate.operators.origins import origins_of
 from tidegate.operators.rolling import rolling_totals
 from tidegate.operators.upsert import last_per_key, upsert
@@ -310,6 +311,12 @@ def _range(inputs: Inputs, config: Config) -> Output:
     return Output(range_join(inputs.named(a), inputs.named(b), config.need("point"), config.need("low"), config.need("high"), float(config.text("width", "1"))), "JOIN", [a, b])
 
 
+def _range_aggregate(inputs: Inputs, config: Config) -> Output:
+    """``left`` with ``point`` and ``value``, ``right`` with ``low`` and ``high``."""
+    a, b = config.need("left"), config.need("right")
+    return Output(range_aggregate(inputs.named(a), inputs.named(b), *map(config.need, ("point", "low", "high", "value"))), "AGGREGATE", [a, b])
+
+
 def _tumble(df: DataFrame, config: Config, _: Inputs) -> DataFrame:
     """``time``, ``size``, ``slide``, ``by``, ``aggregates``, ``watermark``: tumbling, or with ``slide`` sliding windows."""
     return tumbling(df, config.need("time"), config.need("size"), config.names("by"), _aggregates(config), config.text("slide"), config.text("watermark"))
@@ -330,7 +337,7 @@ def _within(df: DataFrame, config: Config, _: Inputs) -> DataFrame:
 TRANSFORMS: dict[str, Transform] = {
     "filter": filter_, "join": join, "select": select, "derive": derive, "aggregate": aggregate, "window": window, "sort": sort, "limit": limit, "distinct": distinct,
     "union": _set("union"), "intersect": _set("intersect"), "except": _set("except"), "sql": sql, "asof_join": asof, "upsert": merge, "passthrough": passthrough,
-    "range_join": _range, "tumbling": _one(_tumble, "AGGREGATE"), "sessions": _one(_sessions, "AGGREGATE"), "once": _one(_within, "FILTER"),
+    "range_join": _range, "range_aggregate": _range_aggregate, "tumbling": _one(_tumble, "AGGREGATE"), "sessions": _one(_sessions, "AGGREGATE"), "once": _one(_within, "FILTER"),
     "merge_intervals": _one(_intervals), "exactly_once": _one(_exactly_once, "FILTER"), "rolling_totals": _one(_rolling, "AGGREGATE"),
     "schema_changes": _drift, "unified_records": _unify, "hierarchy": _tree,
 }
